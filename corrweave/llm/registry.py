@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_sharding": sharding.op4_sharding,
+        "op8_url_filter": url_filter.op8_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_url_filter": url_filter.ORACLE_SQL,
     }
