@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filter
+from . import packing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op8_url_filter": url_filter.op8_url_filter,
