@@ -1,0 +1,41 @@
+"""Connected components by randomised contraction (Bögeholz, Brand and Todor, 2019)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def representatives(edges: DataFrame) -> DataFrame:
+    """(node, rep) for every node of `edges` (columns a and b): nodes of one component share `rep`.
+
+    Each round sends every node to the neighbour (or itself) of least random
+    rank and replaces the edges by those between the targets, so a constant
+    share of the nodes goes each round, for paths and hubs alike. All of it
+    are aggregates with partial sums and joins that AQE can split; nothing but
+    the number of edges left comes to the driver.
+    """
+    edges = cut(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    maps: list[DataFrame] = []
+    seed = 0
+    while not edges.isEmpty():
+        seed += 1
+        both = edges.union(edges.select("b", "a"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("rank"), F.col(c).alias("to"))
+        best = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("n"))
+        target = best.select("node", F.least(rank("node"), F.col("n"))["to"].alias("to"))
+        target = cut(target)
+        maps.append(target)
+        left = target.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        right = target.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        moved = edges.join(left, "a").join(right, "b").filter(F.col("ta") != F.col("tb"))
+        edges = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("rep"))
+    out = maps[0].select("node", F.col("to").alias("rep"))
+    for later in maps[1:]:
+        step = later.select(F.col("node").alias("rep"), "to")
+        out = out.join(step, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
+    return out

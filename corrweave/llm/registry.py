@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, sharding, url_filter
+from . import line_dedup, packing, quality_rules, sharding, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
     }
