@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality_rules, sharding, simhash, url_filter
+from . import line_dedup, lm_scoring, packing, quality_rules, sharding, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
     }
