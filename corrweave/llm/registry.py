@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, lm_scoring, packing, quality_rules, sharding, simhash, url_filter
+from . import decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_sharding": sharding.op4_sharding,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
@@ -21,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_decontamination": decontamination.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
     }
