@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter
+from . import decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_decontamination": decontamination.op5_decontamination,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+        "op7_warc_derivatives": warc.op7_warc_derivatives,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,

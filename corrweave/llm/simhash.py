@@ -142,9 +142,11 @@ def components_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of their component; repeated rows of it become one, all columns stay."""
     (own,) = fresh(docs, "_cw_component")
-    keep = components_of(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = components_of(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = cut(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", own))
+    kept = docs.join(keep.select(own), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
+    # Texts move once more only if some doc_id came twice.
+    return kept if keep.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
