@@ -45,7 +45,7 @@ from .common import cut, table
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-NODES = 20_000
+NODES = 1_000
 #: Rows for each rank window, about.
 SALT_ROWS = 200_000
 
@@ -195,17 +195,21 @@ def n_sequences(plan: Plan) -> int:
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
     """The Martello-Toth bound: lengths over capacity - k stand alone, those over half can't share, and the rest fills gaps."""
-    lengths = sorted(hist)
-    total = sum(x * c for x, c in hist.items())
-    best = -(-total // capacity)
-    for k in (0, *(x for x in lengths if x <= capacity // 2)):
-        alone = sum(c for x, c in hist.items() if x > capacity - k)
-        large = {x: c for x, c in hist.items() if capacity // 2 < x <= capacity - k}
-        n_large = sum(large.values())
-        small = sum(x * c for x, c in hist.items() if k <= x <= capacity // 2)
-        spare = n_large * capacity - sum(x * c for x, c in large.items())
-        best = max(best, alone + n_large + max(0, -(-(small - spare) // capacity)))
-    return best
+    if not hist:
+        return 0
+    x = np.array(sorted(hist), dtype=np.int64)
+    c = np.array([hist[int(v)] for v in x], dtype=np.int64)
+    n_up_to = np.concatenate([[0], np.cumsum(c)])
+    sum_up_to = np.concatenate([[0], np.cumsum(c * x)])
+    half = int(np.searchsorted(x, capacity // 2, side="right"))
+    k = np.concatenate([[0], x[:half]])
+    top = np.searchsorted(x, capacity - k, side="right")  # lengths from there on stand alone
+    sharing = n_up_to[np.maximum(top, half)] - n_up_to[half]
+    spare = sharing * capacity - (sum_up_to[np.maximum(top, half)] - sum_up_to[half])
+    small = sum_up_to[half] - sum_up_to[np.searchsorted(x, k)]
+    alone = n_up_to[-1] - n_up_to[np.maximum(top, half)]
+    bounds = alone + sharing + np.maximum(0, -(-(small - spare) // capacity))
+    return int(max(bounds.max(), -(-sum_up_to[-1] // capacity)))
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> Plan:
@@ -251,7 +255,7 @@ def best_fit(hist: dict[int, int], capacity: int) -> Plan:
     return sorted(out.items(), reverse=True)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 64) -> list[tuple[int, ...]]:
+def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 16) -> list[tuple[int, ...]]:
     """Undominated fillings of `room`, least waste first, `most` at most.
 
     A filling is dominated if some of its lengths, or the room it leaves, can
@@ -324,9 +328,7 @@ def pack_lengths(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NO
                 best = sorted(merged.items(), reverse=True)
             continue
         if waste > (n_sequences(best) - 1) * capacity - total:
-            continue  # even without further waste it takes as many sequences as the incumbent
-        if used + lower_bound({x: counts[x] for x in live}, capacity) >= n_sequences(best):
-            continue
+            continue  # with no further waste it would still take as many sequences as the incumbent
         top = live[-1]
         rest = dict(counts)
         rest[top] -= 1
