@@ -107,8 +107,14 @@ def minhash_candidates(edges: DataFrame, hash_funcs: int = 5, hash_runs: int = 2
     return a.join(b, ["run", "code"]).filter(F.col("e1") < F.col("e2")).select("e1", "e2").distinct()
 
 
-def verify(candidates: DataFrame, edges: DataFrame, min_cor: float, measure: str = "pearson") -> DataFrame:
-    """Candidates whose exact similarity reaches min_cor."""
+def verify(candidates: DataFrame, edges: DataFrame, min_cor: float, measure: str = "pearson", weighted: bool = True) -> DataFrame:
+    """Candidates whose exact similarity reaches min_cor; 0/1 series compare by counts, as in the sparse search."""
+    if measure == "pearson" and not weighted:
+        own = _active(edges).select("edge_id", S.alive(F.col("series")).alias("v"), "s", "n")
+        x, y = own.toDF("e1", "x", "s1", "n"), own.select("edge_id", "v", "s").toDF("e2", "y", "s2")
+        both = candidates.select("e1", "e2").distinct().join(x, "e1").join(y, "e2")
+        shared = F.size(F.array_intersect("x", "y")).cast("long")
+        return both.select("e1", "e2", _binary_r(F.col("n"), F.col("s1"), F.col("s2"), shared).alias("r")).filter(F.col("r") >= min_cor)
     if measure == "pearson":  # centred once for each edge, not for each pair
         own = edges.select("edge_id", S.centred(F.col("series")).alias("v"))
         own = own.withColumn("len", S.norm(F.col("v"))).filter("len > 0")
@@ -121,8 +127,8 @@ def verify(candidates: DataFrame, edges: DataFrame, min_cor: float, measure: str
     return found.filter(F.col("r").isNotNull() & ~F.isnan("r") & (F.col("r") >= min_cor))
 
 
-def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_runs: int = 2) -> DataFrame:
-    return verify(minhash_candidates(edges, hash_funcs, hash_runs), edges, min_cor)
+def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_runs: int = 2, weighted: bool = False) -> DataFrame:
+    return verify(minhash_candidates(edges, hash_funcs, hash_runs), edges, min_cor, weighted=weighted)
 
 
 def correlated_pairs(
@@ -130,7 +136,7 @@ def correlated_pairs(
 ) -> DataFrame:
     """Pairs with Pearson's r >= min_cor, by the plan that fits the graph."""
     if not exact:
-        return minhash_pairs(edges, min_cor, hash_funcs, hash_runs)
+        return minhash_pairs(edges, min_cor, hash_funcs, hash_runs, weighted)
     if weighted or min_cor <= 0:
         return dense_pairs(edges, min_cor)
     return sparse_pairs(edges, min_cor, spread)

@@ -29,7 +29,7 @@ def append_statistics(spark: SparkSession, config: MineConfig, seconds: float, n
     lsh = "" if config.exact else f"{config.hash_funcs}+{config.hash_runs}"
     row = (
         config.name or config.path, datetime.now().strftime("%Y.%m.%d.%H.%M.%S"), float(seconds), int(n_results), config.density == "min",
-        config.min_cor, config.min_den, config.max_cc_size, config.min_edges_in_snap, config.max_jac, lsh,
+        float(config.min_cor), float(config.min_den), config.max_cc_size, config.min_edges_in_snap, float(config.max_jac), lsh,
     )
     kinds = "file string, at string, seconds double, n_results long, is_min boolean, min_cor double, min_den double, max_size int, k int, max_jac double, lsh string"
     spark.createDataFrame([row], kinds).coalesce(1).write.mode("append").option("sep", "\t").csv(path)
