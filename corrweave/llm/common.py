@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrweave.session import cut, shared_dir  # noqa: F401
+
 #: The six white-space characters that part words: space and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,24 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: `spark.checkpoint.dir`, or a folder of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="corrweave-checkpoint-")
-        sc.setCheckpointDir(where)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: rows, order and partitions stay as they are."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that `df` does not have yet (compared without case), one for each of `names`."""
     taken = {c.lower() for c in df.columns}

@@ -37,8 +37,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
-from .components import representatives
+from corrweave.operators.components import representatives
+from corrweave.session import cut
+
+from .common import fresh, table
 
 SHINGLE = 3
 MAX_BITS = 2

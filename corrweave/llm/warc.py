@@ -46,7 +46,7 @@ _BREAKS = re.compile(
 _TAG = re.compile(r"<[^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_SPACE = re.compile(r"[ \t\r\f\v]+")
+_SPACE = re.compile("[ \\t\\r\\f\\v\\xa0]+")
 
 RESPONSE_SCHEMA = "page_id long, record_id string, target_uri string, warc_date string, http_head string, payload string"
 RECORD_SCHEMA = (
