@@ -31,14 +31,30 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return parted.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_start") + F.col("_at")).drop("_pid", "_at", "_start")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, edge_id): the lines of text files, numbered from 0 in the order of file names and places.
+
+    Lines number themselves within their split of a file; only one count for
+    each split goes to the driver.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = cut(spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_m")))
+    counts = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)), F.min("_m")).collect()
+    rows, total = [], 0
+    for file, block, n, first in sorted(tuple(r) for r in counts):
+        rows.append((file, block, total - first))
+        total += n
+    shifts = spark.createDataFrame(rows, "_file string, _block long, _shift long")
+    return lines.join(F.broadcast(shifts), ["_file", "_block"]).select("value", (F.col("_m") + F.col("_shift")).alias("edge_id"))
+
+
 def read_edge_list(spark: SparkSession, path: str, labeled: bool = False, weighted: bool = False) -> DataFrame:
     """Edges of a text file: `src dst [label] series`, parted by one blank; ids are line numbers from 0.
 
     Lines that are blank are ignored. Lines of another form, and series whose
     lengths differ, are errors.
     """
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    raw = lines.toDF("value string, edge_id long").filter(F.trim("value") != "")
+    raw = numbered_lines(spark, path).filter(F.trim("value") != "")
     part = F.split("value", " ")
     n = 4 if labeled else 3
     good = F.size(part) == n

@@ -24,6 +24,17 @@ def test_labeled_and_blank_lines(spark, tmp_path):
     assert [(r["src"], r["dst"], r["label"], r["series"]) for r in got] == [(5, 6, 3, [1, 0]), (6, 7, 4, [0, 1])]
 
 
+def test_lines_keep_their_numbers_over_splits_and_files(spark, tmp_path):
+    for name, first in (("a.txt", 0), ("b.txt", 300)):
+        (tmp_path / name).write_text("".join(f"{i} {i + 1} 1,0\n" for i in range(first, first + 300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = G.read_edge_list(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 600 and all(r["edge_id"] == r["src"] for r in got)
+
+
 def test_bad_files(spark, tmp_path):
     with pytest.raises(ValueError, match="same number"):
         G.read_edge_list(spark, write(tmp_path, "1 2 1,0\n1 3 1\n"))
