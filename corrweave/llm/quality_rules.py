@@ -30,7 +30,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repetitive": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 20 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_word_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_word_lines",
     "capitals": "100 * n_capitals > 30 * word_chars",
     "word_length": "word_chars < 2 * n_words OR word_chars > 16 * n_words",
 }
@@ -174,7 +174,7 @@ WITH d AS (
   SELECT *, CAST(
     (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN 100 * n_dup_lines > 30 * n_word_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 100 * n_dup_lines > 50 * n_word_lines THEN 8 ELSE 0 END)
     + (CASE WHEN 100 * n_capitals > 30 * word_chars THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 16 * n_words THEN 32 ELSE 0 END) AS INTEGER) AS fail_bits
   FROM f
