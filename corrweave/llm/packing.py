@@ -31,6 +31,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ class WordEncoder:
     #: Control characters, no-break space, and what lies beyond the Latin blocks.
     OTHER = re.compile("[\x00-\x1f\x7f-\xa0]|[^\x00-\u024f]")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,7 +85,7 @@ class WordEncoder:
         hidden = [c for c in range(256) if c not in shown]
         self.alphabet = {c: 256 + i for i, c in enumerate(hidden)}
         self.most = most
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}  # ids as packed 32-bit numbers
         self._reset()
 
     def _reset(self) -> None:
@@ -94,22 +95,22 @@ class WordEncoder:
         self.lengths = np.empty(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if self.pattern is None or self.OTHER.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        out: list[int] = []
+        out = []
         for part in self.pattern.findall(text.lower()):
             ids = self.parts.get(part)
             if ids is None:
-                if len(self.parts) >= self.most:
+                if len(self.parts) >= self.most // 2:
                     self.parts.clear()
                 shown = part.encode().decode("latin-1").translate(self.alphabet)
-                ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            out += ids
-        return out
+                ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -117,8 +118,8 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         ids = list(map(self._word, new))
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(n.sum()))
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         k = len(self.place)
         self.ids = self._room(self.ids, self.used + len(flat))
         self.starts, self.lengths = (self._room(a, k + len(new)) for a in (self.starts, self.lengths))
