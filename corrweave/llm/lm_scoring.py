@@ -19,7 +19,8 @@ a part adds the counts up and answers each block with the totals in the order
 of its question, a byte or less for most; the block builds the sub-automaton
 of its own n-grams and traverses its texts. An n-gram comes once from each
 block however often it occurs, so frequent ones are no hot spot, and nothing
-goes to the driver but the size of the input.
+goes to the driver but the size of the input. Questions and answers are one row
+for each block and part, as the pieces of any shuffle; `block_bytes` sets how many.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased and one end for
 each text. N-grams are told apart by 64-bit hashes.
