@@ -68,7 +68,7 @@ class WordEncoder:
     #: Control characters, no-break space, and what lies beyond the Latin blocks.
     OTHER = re.compile("[\x00-\x1f\x7f-\xa0]|[^\x00-\u024f]")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,6 +80,8 @@ class WordEncoder:
         self.pattern = None
         if normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]:
             self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
+        shows = [("aé", ["aé"]), *((f"aé{c}", ["aé", c]) for c in ".,|!")]
+        self.letters_are_parts = self.pattern is not None and all(self.pattern.findall(w) == p for w, p in shows)
         # ByteLevel's alphabet: printable Latin-1 characters stand for themselves, other bytes follow from U+0100 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [c for c in range(256) if c not in shown]
@@ -95,22 +97,29 @@ class WordEncoder:
         self.lengths = np.empty(1 << 16, dtype=np.int64)
         self.used = 0
 
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.most * 2 // 3:
+                self.parts.clear()
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)  # ASCII parts are printable
+            ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.pattern is None or self.OTHER.search(text):
+        if text.isascii():
+            latin = text.isprintable()
+        elif latin := not self.OTHER.search(text):
+            text = unicodedata.normalize("NFC", text).lower()
+        if self.pattern is None or not latin:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        out = []
-        for part in self.pattern.findall(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= self.most // 2:
-                    self.parts.clear()
-                shown = part.encode().decode("latin-1").translate(self.alphabet)
-                ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if self.letters_are_parts:  # spares most words the pattern
+            if text.isalpha():
+                return self._part(text)
+            if text[-1] in ".,|!" and text[:-1].isalpha():
+                return self._part(text[:-1]) + self._part(text[-1])
+        return b"".join(map(self._part, self.pattern.findall(text)))
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
