@@ -136,7 +136,10 @@ def dropped_lines(hashes: DataFrame, min_docs: int, keep: str, n_partitions: int
         n_docs[0] = first_total
         drop = np.repeat(n_docs >= min_docs, np.diff([*starts, len(cols[0])]))
         if keep == "first":
-            drop[starts[1 if began_before else 0 :]] = False
+            # A repeated row has its lines here more than once; equal range keys never part, so all of them lie in this partition.
+            new_row = np.concatenate([[True], np.any([np.diff(c) != 0 for c in cols], axis=0)])
+            row = np.cumsum(new_row)
+            drop[np.isin(row, row[starts[1 if began_before else 0 :]])] = False
         at = np.flatnonzero(drop)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]

@@ -52,6 +52,17 @@ def test_against_brute_force(spark):
     check(spark, [(i, "all the same\nline", "en", "hot") for i in range(60)], 1, 10)
 
 
+def test_first_document_is_a_repeated_row(spark):
+    first = (1, "own words of one\nshared line\nSHARED line", "en", "hot")
+    rows = [first, first, first, *((2 + i, f"own words of {2 + i}\nshared line", "en", "hot") for i in range(40))]
+    for size in (1 << 20, 40):  # one partition for most of the lines, and many
+        got = D.drop_duplicate_lines(X.documents(spark, rows), 1, 10, keep="first", partition_bytes=size).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            left = ["own words of one", "shared line"] if r["doc_id"] == 1 else [f"own words of {r['doc_id']}"]
+            assert r["text"].split("\n") == left
+
+
 def test_empty_and_bad_mode(spark):
     assert D.drop_duplicate_lines(X.documents(spark).filter("doc_id < 0")).count() == 0
     with pytest.raises(ValueError):
