@@ -22,7 +22,8 @@ linked like any other; fewer words than a shingle make one shingle of all;
 repeated rows share fingerprint and component; a null doc_id never names a
 component unless all its ids are null; an empty table gives an empty result;
 further columns of the input are ignored by `components_of`, and kept by
-`drop_near_duplicates`.
+`drop_near_copies`, where rows with the same doc_id and text are one document
+and rows with the same doc_id (or none) and different texts are different ones.
 """
 
 from __future__ import annotations
@@ -68,16 +69,20 @@ def fingerprint(text: str, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (a long with the fingerprint's bits) of each row."""
+    """doc_id, text_hash and fp (a long with the fingerprint's bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or "", k) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, fp bigint")
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), text_hash(docs).alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -129,20 +134,29 @@ def links(fps: DataFrame) -> DataFrame:
     return sparse.union(stars)
 
 
-def components_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of each row."""
-    prints = cut(fingerprints(docs, k))
+def _grouped(prints: DataFrame) -> DataFrame:
+    """fp, least (its smallest doc_id) and rep (one fingerprint of its component) of each distinct fingerprint."""
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rep = representatives(links(fps.select("fp")))
     grouped = fps.join(rep.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep"))
-    grouped = cut(grouped)
+    return cut(grouped)
+
+
+def components_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable) of each row."""
+    prints = cut(fingerprints(docs, k))
+    grouped = _grouped(prints)
     ids = grouped.groupBy("rep").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(ids, "rep").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component; repeated rows of it become one, all columns stay."""
+    """The rows of `docs` with the smallest doc_id of their component, one for each doc_id, all columns.
+
+    For tables whose doc_ids are unique and not null: of rows that share one it keeps one, whatever their texts.
+    `drop_near_copies` is right for any table.
+    """
     (own,) = fresh(docs, "_cw_component")
     first = components_of(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = cut(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", own))
@@ -151,6 +165,32 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return kept if keep.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of `docs`, all columns, for each `rep` of `groups` (doc_id, text_hash, rep; one entry for each row of `docs` at least).
+
+    It is the one with the smallest (doc_id, text hash), null ids last; a row
+    goes only for another one of its group.
+    """
+    k1, k2 = fresh(docs, "_cw_doc_id", "_cw_text_hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
+    n_first = groups.groupBy("rep", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = n_first.groupBy("rep").agg(first, F.max("n").alias("n")).select(F.col("f.doc_id").alias(k1), F.col("f.text_hash").alias(k2), "n")
+    kept = cut(kept)
+    d1, d2 = docs["doc_id"].cast("long"), text_hash(docs)
+    left = docs.join(kept.select(k1, k2), d1.eqNullSafe(F.col(k1)) & (d2 == F.col(k2)), "left_semi")
+    # Texts move once more only if some row came twice.
+    if kept.filter("n > 1").isEmpty():
+        return left
+    return left.withColumns({k1: d1, k2: d2}).dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One row of each component stays, told apart by doc_id and text, all columns."""
+    prints = cut(fingerprints(docs, k))
+    rep = _grouped(prints).select("fp", "rep")
+    return keep_one(docs, prints.join(rep, "fp").select("doc_id", "text_hash", "rep"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components_of(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -65,6 +65,21 @@ def test_components_and_stage(spark):
     assert len(ids) == len(set(ids)) and set(ids) == {c for _, _, c in expected}
 
 
+def test_stage_drops_a_row_only_for_one_of_its_component(spark):
+    import corpus_pipeline
+
+    far = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ant", "bee", "cow", "dog", "elk")]
+    rows = [
+        (None, far[0], "en", "a"), (None, far[1], "en", "a"), (None, far[1], "en", "a"),  # no ids, two texts
+        (8, far[2], "en", "a"), (8, far[3], "en", "a"), (8, far[3], "en", "b"),  # one id, two texts
+        (5, far[3], "en", "a"), (None, far[3], "en", "a"), (9, far[4], "en", "a"), (8, far[4].upper(), "en", "a"),
+    ]
+    docs = X.documents(spark, rows, _cw_doc_id=1)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert X.same([tuple(r)[:2] for r in got.collect()], [(None, far[0]), (None, far[1]), (8, far[2]), (5, far[3]), (8, far[4].upper())])
+
+
 def test_fingerprints(spark):
     assert S.fingerprint("") == S.fingerprint(" \n") == 0
     assert S.fingerprint("One two") == xxhash.xxh64_intdigest(b"one two", 42)
