@@ -10,7 +10,8 @@ from dataclasses import dataclass, fields, replace
 class MineConfig:
     """min_cor: least Pearson r of every two edges; min_den: least density; density: "min" or "avg" average degree
     over the snapshots with min_edges_in_snap edges; max_cc_size and max_jac: exclusive bounds of a result's edges
-    and of two results' Jaccard similarity; exact or by hash_runs bands of hash_funcs min-hashes."""
+    and of two results' Jaccard similarity; exact or by hash_runs bands of hash_funcs min-hashes; spread: join keys
+    for each snapshot, for graphs with crowded ones."""
 
     path: str = ""
     output: str = ""
@@ -27,6 +28,7 @@ class MineConfig:
     max_cc_size: int = 100
     max_jac: float = 0.0
     prune: bool = True
+    spread: int = 1
 
 
 #: Command-line keys and the fields they set.
@@ -98,3 +100,46 @@ def sweep(base: MineConfig, **values: list) -> list[MineConfig]:
     for field, options in values.items():
         out = [replace(c, **{field: v}) for c in out for v in options]
     return out
+
+
+def read_settings(text: str) -> dict[str, str | list[str]]:
+    """`name=value` lines of a settings file: comments go, quotes are taken off, `( a b )` is a list."""
+    out: dict[str, str | list[str]] = {}
+    for line in text.splitlines():
+        name, eq, value = line.partition("#")[0].strip().partition("=")
+        value = value.strip()
+        if not eq:
+            continue
+        if value.startswith("(") and value.endswith(")"):
+            out[name.strip()] = value[1:-1].split()
+        else:
+            out[name.strip()] = value.strip("\"'")
+    return out
+
+
+def sweep_from_settings(text: str) -> list[MineConfig]:
+    """The runs of a settings file.
+
+    A data set x has `x_db` (its name), `x_defaults` (correlation, density, edges in a snapshot, weighted, labeled),
+    `x_dens`, `x_cor` (values to vary) and `x_flags` (vary density, vary correlation: 1 or 0). Every value is run with
+    minimum and with average density; without isExact=true also with each pair of `hashFuncs` and `hashRuns`.
+    """
+    keys = read_settings(text)
+    numbers = lambda x: [float(v) for v in str(keys.get(x, "")).split(",") if v.strip()]
+    exact = str(keys.get("isExact", "true")).lower() == "true"
+    hashes = [{}] if exact else [{"hash_funcs": int(f), "hash_runs": int(r)} for f, r in zip(keys["hashFuncs"], keys["hashRuns"], strict=True)]
+    out: list[MineConfig] = []
+    for key, name in keys.items():
+        if not key.endswith("_db"):
+            continue
+        x = key.removesuffix("_db")
+        cor, den, k, weighted, labeled = (v.strip() for v in str(keys[f"{x}_defaults"]).split(","))
+        base = MineConfig(
+            path=f"{keys.get('dataFolder', '')}/{name}.csv", output=f"{keys.get('outputFolder', '')}/{'exact' if exact else 'ax'}", name=f"{name}.csv",
+            weighted=weighted == "true", labeled=labeled == "true", min_cor=float(cor), min_den=float(den), min_edges_in_snap=int(k),
+            exact=exact, max_cc_size=int(keys.get("maxCCSize", 100)), max_jac=float(keys.get("maxJac", 0.0)),
+        )
+        flags = [f.strip() == "1" for f in str(keys.get(f"{x}_flags", "0,0")).split(",")] + [False, False]
+        varied = [{"min_den": v} for v in numbers(f"{x}_dens") if flags[0]] + [{"min_cor": v} for v in numbers(f"{x}_cor") if flags[1]]
+        out += [replace(base, density=d, **h, **v) for h in hashes for v in varied for d in ("min", "avg")]
+    return out

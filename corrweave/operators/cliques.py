@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrweave.functions import series as S
 from corrweave.operators.correlate import adjacency
 
 
@@ -71,3 +72,15 @@ def maximal_cliques(pairs: DataFrame) -> DataFrame:
     lower = F.struct(F.size("nbr"), F.col("u")) < F.struct(F.size("v_nbr"), F.col("v"))
     problems = sides.select(F.col("u").alias("root"), "v", lower.alias("later"), F.array_intersect("nbr", "v_nbr").alias("near"))
     return problems.groupBy("root").applyInArrow(_of_root, "edges array<bigint>")
+
+
+def check_cliques(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k, is_clique, is_maximal) of each set: whether every two of its vertices are a pair, and no further vertex is paired with all of them."""
+    keyed = sets.select(S.set_text(F.col("edges")).alias("k"), F.array_distinct("edges").alias("edges")).distinct()
+    members = keyed.select("k", F.size("edges").alias("n"), F.explode("edges").alias("u"), "edges")
+    # For each set and each neighbour of a member: how many members it is paired with.
+    met = members.join(adjacency(pairs).distinct(), "u").groupBy("k", "n", "v").agg(F.count(F.lit(1)).alias("m"), F.first(F.array_contains("edges", F.col("v"))).alias("own"))
+    counts = met.groupBy("k").agg(F.count_if(F.col("own") & (F.col("m") == F.col("n") - 1)).alias("full"), F.count_if(~F.col("own") & (F.col("m") == F.col("n"))).alias("more"))
+    both = keyed.select("k", F.size("edges").alias("n")).join(counts, "k", "left")
+    full = (F.coalesce("full", F.lit(0)) == F.col("n")) | (F.col("n") <= 1)
+    return both.select("k", full.alias("is_clique"), (full & (F.coalesce("more", F.lit(0)) == 0)).alias("is_maximal"))

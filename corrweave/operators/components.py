@@ -45,3 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     found = cut(representatives(edges))
     least = found.groupBy("rep").agg(F.min("node").alias("component"))
     return found.join(least, "rep").select("node", "component")
+
+
+def graph_components(edges: DataFrame) -> DataFrame:
+    """(edge_id, component): edges that hang together by shared nodes; a component is named by its smallest node."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = edges.select("edge_id", F.col("src").alias("node")).join(found, "node", "left")
+    return named.select("edge_id", F.coalesce("component", "node").alias("component"))

@@ -100,8 +100,9 @@ def minhash_codes(edges: DataFrame, hash_funcs: int, hash_runs: int) -> DataFram
 
 
 def minhash_candidates(edges: DataFrame, hash_funcs: int = 5, hash_runs: int = 2) -> DataFrame:
-    """Distinct pairs that share a code in some run."""
-    codes = minhash_codes(edges, hash_funcs, hash_runs)
+    """Distinct pairs that share a code in some run. Constant series correlate with nothing, and all share one code where always alive: they go first."""
+    varied = edges.filter(F.array_min("series") < F.array_max("series"))
+    codes = minhash_codes(varied, hash_funcs, hash_runs)
     a = codes.withColumnRenamed("edge_id", "e1")
     b = codes.withColumnRenamed("edge_id", "e2")
     return a.join(b, ["run", "code"]).filter(F.col("e1") < F.col("e2")).select("e1", "e2").distinct()
@@ -145,3 +146,18 @@ def correlated_pairs(
 def adjacency(pairs: DataFrame) -> DataFrame:
     """(u, v) in both directions."""
     return pairs.select(F.col("e1").alias("u"), F.col("e2").alias("v")).union(pairs.select("e2", "e1"))
+
+
+def degrees(pairs: DataFrame) -> DataFrame:
+    """(edge_id, degree) in the correlation graph."""
+    return adjacency(pairs).groupBy(F.col("u").alias("edge_id")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def degrees_in_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k, edge_id, near, far, largeness) for the edges of each set: neighbours and others among the rest of the set, and near / size of the set."""
+    keyed = sets.select(S.set_text(F.col("edges")).alias("k"), F.array_distinct("edges").alias("edges"))
+    placed = keyed.select("k", F.size("edges").alias("n"), F.explode("edges").alias("edge_id"), "edges")
+    near = F.coalesce(F.size(F.array_intersect("edges", "vs")), F.lit(0)).cast("long")
+    around = adjacency(pairs).groupBy(F.col("u").alias("edge_id")).agg(F.collect_set("v").alias("vs"))
+    both = placed.join(around, "edge_id", "left").select("k", "edge_id", "n", F.when(F.col("vs").isNull(), F.lit(0)).otherwise(near).cast("long").alias("near"))
+    return both.select("k", "edge_id", "near", (F.col("n") - 1 - F.col("near")).cast("long").alias("far"), (F.col("near") / F.col("n")).alias("largeness"))

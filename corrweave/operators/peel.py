@@ -136,10 +136,11 @@ class Candidate:
         return sorted(sets, key=lambda x: (-len(x[0]), x[0]))
 
     def classify(self) -> tuple[str, list[tuple[list[int], float]]]:
-        """("direct", the candidate), ("extracted", dense parts, maybe none) or ("pruned", nothing)."""
+        """("direct", the candidate), ("extracted", its dense parts) or ("pruned", nothing)."""
         d = self.density(self.whole)
         if d is not None and d >= self.rules.min_den:
             return "direct", [(self.named(self.whole), d)]
         if self.rules.prune and not self.contains_dense(self.rules.min_den / 2):
             return "pruned", []
-        return "extracted", self.extract_dense()
+        parts = self.extract_dense()
+        return ("extracted", parts) if parts else ("pruned", [])

@@ -23,7 +23,12 @@ CLASS_SCHEMA = "cand array<bigint>, class string, sets array<struct<edges: array
 
 
 def classify(cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
-    """(cand, class, sets) of each candidate; the largest are dealt out on their own as the search is exponential."""
+    """(cand, class, sets) of each candidate.
+
+    The search is exponential in a candidate's size, so candidates are dealt to a fixed number of tasks by hash, and each task takes its largest first.
+    """
+    spark = cands.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     keyed = cands.select(S.set_text(F.col("edges")).alias("k"), F.explode("edges").alias("edge_id"))
     full = keyed.join(edges.select("edge_id", "src", "dst", "series", "support"), "edge_id")
     grouped = full.groupBy("k").agg(F.collect_list(F.struct("edge_id", "src", "dst", "series", "support")).alias("m"))
@@ -39,7 +44,8 @@ def classify(cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=["cand", "class", "sets"])
 
-    return grouped.select("m").mapInArrow(run, CLASS_SCHEMA)
+    dealt = grouped.repartition(tasks, F.xxhash64("k")).sortWithinPartitions(F.size("m").desc(), "k")
+    return dealt.select("m").mapInArrow(run, CLASS_SCHEMA)
 
 
 def choose(rows: Iterable[tuple[list[int], str, list[tuple[list[int], float]]]], max_cc_size: int, max_jac: float) -> list[tuple[list[int], float, str]]:

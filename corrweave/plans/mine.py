@@ -22,6 +22,9 @@ from corrweave.sources.results import append_statistics, result_name, write_resu
 
 log = logging.getLogger(__name__)
 
+#: The poll at which a front end is told that there is no result.
+POLLS = 5
+
 
 def rules_of(config: MineConfig) -> Rules:
     return Rules(config.min_den, config.min_edges_in_snap, config.density, config.prune)
@@ -29,11 +32,29 @@ def rules_of(config: MineConfig) -> Rules:
 
 def classified(edges: DataFrame, config: MineConfig) -> DataFrame:
     """Candidates of the graph with their classes and dense sets."""
-    pairs = cut(correlated_pairs(edges, config.min_cor, config.exact, config.weighted, config.hash_funcs, config.hash_runs))
+    pairs = cut(correlated_pairs(edges, config.min_cor, config.exact, config.weighted, config.hash_funcs, config.hash_runs, config.spread))
     cands = candidates(maximal_cliques(pairs), edges, config.min_den)
     return classify(cands.filter(F.col("n_edges") < config.max_cc_size), edges, rules_of(config))
 
 
+def staged(edges: DataFrame, config: MineConfig) -> tuple[DataFrame, list[tuple[str, int, float]]]:
+    """The result of `mine`, and (stage, rows, seconds) of each stage; every stage is checkpointed, so that its seconds are its own."""
+    log_: list[tuple[str, int, float]] = []
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        done = cut(df)
+        log_.append((name, done.count(), time.perf_counter() - began))
+        log.info("%s: %d in %.1f s", *log_[-1])
+        return done
+
+    pairs = stage("correlated_pairs", correlated_pairs(edges, config.min_cor, config.exact, config.weighted, config.hash_funcs, config.hash_runs, config.spread))
+    cliques = stage("maximal_cliques", maximal_cliques(pairs))
+    cands = stage("candidates", candidates(cliques, edges, config.min_den).filter(F.col("n_edges") < config.max_cc_size))
+    classes = stage("classified", classify(cands, edges, rules_of(config)))
+    return stage("dense_subgraphs", diverse(classes, config.max_cc_size, config.max_jac)), log_
+
+
 def mine(edges: DataFrame, config: MineConfig) -> DataFrame:
     """edges, n_edges, density and origin of each accepted subgraph. `edges` should be cheap to read again."""
     return diverse(cut(classified(edges, config)), config.max_cc_size, config.max_jac)
@@ -54,8 +75,8 @@ def load(spark: SparkSession, config: MineConfig) -> DataFrame:
 def run(spark: SparkSession, config: MineConfig, edges: DataFrame | None = None) -> DataFrame:
     """A whole run: load, mine, write the result and the statistics where `config.output` says."""
     began = time.perf_counter()
-    found = cut(mine(edges if edges is not None else load(spark, config), config))
-    seconds, n = time.perf_counter() - began, found.count()
+    found, stages = staged(edges if edges is not None else load(spark, config), config)
+    seconds, n = time.perf_counter() - began, stages[-1][1]
     log.info("%s: %d results in %.1f s", result_name(config), n, seconds)
     if config.output:
         write_results(found, f"{config.output}/{result_name(config)}")
@@ -90,6 +111,7 @@ class Service:
         self.results: dict[str, str] = {}
         self.forms: dict[str, MineConfig] = {}
         self.exploded = ""
+        self.polls = 0
 
     def launch_task(self, request: str) -> str:
         config, _ = C.from_json(request)
@@ -113,8 +135,10 @@ class Service:
         self.exploded = views.exploded_json(views.exploded_view(load(self.spark, config), ends, config.min_edges_in_snap))
         return "ack"
 
-    def get_results(self, name: str) -> str:
-        return self.results.get(name, "UNAVAILABLE")
+    def get_results(self, name: str) -> str | None:
+        """The result, or "UNAVAILABLE"; the service's fifth poll gives up on a result that isn't there and answers None."""
+        self.polls += 1
+        return self.results.get(name, None if self.polls == POLLS else "UNAVAILABLE")
 
     def get_exploded(self) -> str:
         return self.exploded

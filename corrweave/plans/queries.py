@@ -6,6 +6,8 @@ compare them alike; measured values are rounded to six places.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from corrweave.operators import cliques as cliq
 from corrweave.operators import components as comp
 from corrweave.operators import correlate as cor
 from corrweave.operators import density as den
+from corrweave.operators.peel import Rules
 from corrweave.operators.select import classify
 from corrweave.plans import mine as M
 from corrweave.plans import views
-from corrweave.session import cut
+from corrweave.session import cut, shared_dir
 from corrweave.sources import graph as G
+from corrweave.sources import results as R
 
 MIN_COR = 0.3
 K, DELTA = 2, 1.0
@@ -46,6 +50,39 @@ def edge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("edge_id", "src", "dst", F.col("support").cast("long").alias("support"), text.alias("series"))
 
 
+def _round_trip(spark: SparkSession, edges: DataFrame, labeled: bool = False, weighted: bool = False) -> DataFrame:
+    """Edges written as an edge-list file and read again."""
+    path = f"{shared_dir(spark)}/corrweave/edges-{uuid.uuid4().hex}"
+    R.write_edge_list(edges, path, labeled)
+    return G.read_edge_list(spark, path, labeled, weighted)
+
+
+def _listed(edges: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform("series", lambda x: x.cast("int").cast("string")), ",")
+    return edges.select("edge_id", "src", "dst", F.col("label").cast("long").alias("label"), F.col("support").cast("long").alias("support"), text.alias("series"))
+
+
+def edge_file_unlabeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an unlabeled edge-list file."""
+    return _listed(_round_trip(spark, _bursts(spark, sf_dir)))
+
+
+def edge_file_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a labeled edge-list file."""
+    edges = _bursts(spark, sf_dir).withColumn("label", (F.col("edge_id") % 3).cast("int"))
+    return _listed(_round_trip(spark, edges, labeled=True))
+
+
+def edge_file_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an edge-list file with weights."""
+    return _listed(_round_trip(spark, cut(G.nation_trade(spark, sf_dir)), weighted=True))
+
+
+def edge_file_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loaded file: nodes by their dense ids."""
+    return M.encode_nodes(cut(_round_trip(spark, _bursts(spark, sf_dir)))).select("edge_id", "src", "dst")
+
+
 def edge_support_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nation_trade(spark, sf_dir).select("edge_id", "src", "dst", F.col("support").cast("long").alias("support"))
 
@@ -126,6 +163,27 @@ def correlation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.components(pairs.select(F.col("e1").alias("a"), F.col("e2").alias("b"))).select(F.col("node").alias("edge_id"), "component")
 
 
+def correlation_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cor.degrees(_pairs(_bursts(spark, sf_dir)))
+
+
+def candidate_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of each edge inside and outside its candidate, in the correlation graph."""
+    edges = _bursts(spark, sf_dir)
+    x = cor.degrees_in_sets(_candidates(edges), cut(_pairs(edges)))
+    return x.select(F.col("k").alias("edges"), "edge_id", "near", "far", F.round("largeness", 6).alias("largeness"))
+
+
+def clique_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the found cliques are cliques, and maximal."""
+    pairs = cut(_pairs(_bursts(spark, sf_dir)))
+    return cliq.check_cliques(cliq.maximal_cliques(pairs), pairs).select(F.col("k").alias("edges"), "is_clique", "is_maximal")
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.graph_components(_bursts(spark, sf_dir))
+
+
 def _text(sets: DataFrame) -> DataFrame:
     return sets.select(S.set_text(F.col("edges")).alias("edges"), F.size("edges").cast("long").alias("n_edges"))
 
@@ -202,6 +260,13 @@ def dense_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(S.set_text(F.col("s.edges")).alias("edges"), F.round("s.density", 6).alias("density")).distinct()
 
 
+def dense_extracted_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `dense_extracted`, by minimum density."""
+    edges = _bursts(spark, sf_dir)
+    x = classify(_candidates(edges), edges, Rules(0.8, 1, "min")).filter(F.col("class") == "extracted").select(F.explode("sets").alias("s"))
+    return x.select(S.set_text(F.col("s.edges")).alias("edges"), F.round("s.density", 6).alias("density")).distinct()
+
+
 def _result(x: DataFrame) -> DataFrame:
     return x.select(S.set_text(F.col("edges")).alias("edges"), F.col("n_edges").cast("long").alias("n_edges"), F.round("density", 6).alias("density"), "origin")
 
@@ -254,6 +319,27 @@ def result_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.density_classes(_viewed(spark, sf_dir)[0])
 
 
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the result file of the flagship run."""
+    path = f"{shared_dir(spark)}/corrweave/result-{uuid.uuid4().hex}"
+    R.write_results(M.mine(_bursts(spark, sf_dir), CONFIG), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics row of the flagship run, without its time and duration."""
+    path = f"{shared_dir(spark)}/corrweave/statistics-{uuid.uuid4().hex}"
+    found = cut(M.mine(_bursts(spark, sf_dir), CONFIG))
+    R.append_statistics(spark, CONFIG, 0.0, found.count(), path)
+    return R.read_statistics(spark, path).drop("at", "seconds", "lsh")
+
+
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each stage of the flagship run."""
+    _, stages = M.staged(_bursts(spark, sf_dir), CONFIG)
+    return spark.createDataFrame([(name, n) for name, n, _ in stages], "stage string, n long")
+
+
 def snapshot_stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly windows over dated edges (here customers' and suppliers' nations of each line item)."""
     from corrweave.streaming import snapshot_cells
@@ -327,6 +413,24 @@ dens AS (
   FROM ss JOIN nn USING (edges) LEFT JOIN bt USING (edges)
 )
 """
+# Without a bound on similarity the greedy choice leaves the dense sets that are part of no other. No candidate of these tables
+# has a dense part that only peeling finds at the flagship's bounds (tests check it), so the dense sets are dense candidates.
+_RESULTS = f"""
+dense AS (SELECT edges, n_edges, es, min_density AS d FROM dens JOIN cands USING (edges, n_edges) WHERE min_density >= {DELTA} AND n_edges < 40),
+found AS (
+  SELECT edges, es, n_edges, d, round(d, 6) AS density, 'direct' AS origin FROM dense a
+  WHERE NOT EXISTS (SELECT 1 FROM dense b WHERE b.n_edges > a.n_edges AND list_has_all(b.es, a.es))
+)
+"""
+_VIEWS = """
+classes AS (SELECT CAST(row_number() OVER (ORDER BY value DESC) AS BIGINT) AS id, value FROM (SELECT DISTINCT round_even(d, 3) AS value FROM found ORDER BY value DESC LIMIT 6)),
+placed AS (SELECT CAST(row_number() OVER (ORDER BY d DESC, n_edges DESC, es) - 1 AS BIGINT) AS s, es, round_even(d, 3) AS value FROM found),
+sets AS (SELECT s, es, CAST(coalesce(id, 6) || CAST(s AS VARCHAR) AS BIGINT) AS sid FROM placed LEFT JOIN classes USING (value)),
+used AS (
+  SELECT s, sid, place, src, dst FROM (SELECT s, sid, unnest(es) AS edge_id, CAST(generate_subscripts(es, 1) - 1 AS BIGINT) AS place FROM sets) JOIN edge_table USING (edge_id)
+)
+"""
+_JOINED = "FROM edges JOIN (SELECT edge_id, string_agg(CAST(w AS VARCHAR), ',' ORDER BY t) AS s FROM grid GROUP BY edge_id) USING (edge_id)"
 _TABLE = "edge_table AS (SELECT * FROM edges)"
 
 
@@ -344,7 +448,7 @@ def _hash_sql() -> tuple[str, str]:
         for r in range(HASH_RUNS)
     ]
     codes = f"signed AS (SELECT edge_id, {', '.join(mins)} FROM snap GROUP BY edge_id),\ncodes AS ({' UNION ALL '.join(rows)})"
-    return codes, "lsh AS (SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM codes a JOIN codes b ON a.run = b.run AND a.code = b.code AND a.edge_id < b.edge_id)"
+    return codes, "varied AS (SELECT edge_id, run, code FROM codes JOIN edges USING (edge_id), span WHERE support < n),\nlsh AS (SELECT DISTINCT a.edge_id AS e1, b.edge_id AS e2 FROM varied a JOIN varied b ON a.run = b.run AND a.code = b.code AND a.edge_id < b.edge_id)"
 
 
 _MOMENTS = """
@@ -362,6 +466,12 @@ def oracle_sql() -> dict[str, str]:
     graph = (_PAIRS, _CLIQUES)
     parts = (*graph, _TABLE, _CM)
     full = (*parts, _DENSITY)
+    lsh_parts = (_PAIRS.partition(", adj AS")[0], codes, lsh)
+    near = "adj AS (SELECT e1 AS u, e2 AS v FROM pairs JOIN lsh USING (e1, e2) UNION ALL SELECT e2, e1 FROM pairs JOIN lsh USING (e1, e2))"
+    approximate = (*lsh_parts, near, _CLIQUES, _TABLE, _CM, _DENSITY, _RESULTS)
+    mined = (*full, _RESULTS)
+    viewed = (*mined, _VIEWS)
+    reach = "hop(u, v) AS (SELECT src, dst FROM ends UNION ALL SELECT dst, src FROM ends),\nreach(u, v) AS (SELECT u, u FROM hop UNION SELECT r.u, h.v FROM reach r JOIN hop h ON h.u = r.v)"
     degree = "deg AS (SELECT t, node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT t, unnest([src, dst]) AS node FROM snap JOIN edges USING (edge_id)) GROUP BY t, node)"
     return {
         "edge_series": _sql(
@@ -412,6 +522,36 @@ def oracle_sql() -> dict[str, str]:
         "avg_density": _sql("SELECT edges, k_snaps, skipped, round(avg_density, 6) AS avg_density FROM dens", *full),
         "dense_direct_min": _sql(f"SELECT edges, n_edges, n_nodes, k_snaps, round(min_density, 6) AS density FROM dens WHERE min_density >= {DELTA}", *full),
         "dense_direct_avg": _sql(f"SELECT edges, n_edges, n_nodes, k_snaps, round(avg_density, 6) AS density FROM dens WHERE avg_density >= {DELTA}", *full),
+        "edge_file_unlabeled": _sql(f"SELECT edge_id, src, dst, CAST(1 AS BIGINT) AS label, support, s AS series {_JOINED}", _DENSE_B),
+        "edge_file_labeled": _sql(f"SELECT edge_id, src, dst, edge_id % 3 AS label, support, s AS series {_JOINED}", _DENSE_B),
+        "edge_file_weighted": _sql(f"SELECT edge_id, src, dst, CAST(1 AS BIGINT) AS label, total AS support, s AS series {_JOINED.replace('edges', 'ends')}", _DENSE_W),
+        "edge_file_encoded": _sql(
+            "SELECT edge_id, a.id AS src, b.id AS dst FROM ends JOIN ids a ON a.node = src JOIN ids b ON b.node = dst",
+            "ids AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS id, node FROM (SELECT node, min(place) AS place FROM (SELECT src AS node, 2 * edge_id AS place FROM ends UNION ALL SELECT dst, 2 * edge_id + 1 FROM ends) GROUP BY node))",
+        ),
+        "correlation_degree": _sql("SELECT u AS edge_id, CAST(count(*) AS BIGINT) AS degree FROM adj GROUP BY u", _PAIRS),
+        "candidate_degrees": _sql(
+            "SELECT edges, edge_id, CAST(count(v) AS BIGINT) AS near, CAST(any_value(n_edges) - 1 - count(v) AS BIGINT) AS far, round(count(v) / CAST(any_value(n_edges) AS DOUBLE), 6) AS largeness FROM cm JOIN cands USING (edges) LEFT JOIN adj ON u = edge_id AND list_contains(es, v) GROUP BY edges, edge_id",
+            *parts,
+        ),
+        "clique_check": _sql("SELECT k AS edges, true AS is_clique, true AS is_maximal FROM cliques", *graph),
+        "graph_components": _sql("SELECT edge_id, min(v) AS component FROM ends JOIN reach ON u = src GROUP BY edge_id", reach),
+        "dense_subgraphs_min": _sql("SELECT edges, n_edges, density, origin FROM found", *mined),
+        "dense_subgraphs_approximate": _sql("SELECT edges, n_edges, density, origin FROM found", *approximate),
+        "result_file": _sql("SELECT replace(edges, ',', chr(9)) || chr(9) AS line FROM found", *mined),
+        "run_statistics": _sql(
+            f"SELECT 'nation' AS file, count(*) AS n_results, true AS is_min, CAST({MIN_COR} AS DOUBLE) AS min_cor, CAST({DELTA} AS DOUBLE) AS min_den, CAST(40 AS INTEGER) AS max_size, CAST({K} AS INTEGER) AS k, CAST(1.0 AS DOUBLE) AS max_jac FROM found", *mined
+        ),
+        "stage_counts": _sql(
+            "SELECT 'correlated_pairs' AS stage, count(*) AS n FROM pairs UNION ALL SELECT 'maximal_cliques', count(*) FROM cliques UNION ALL SELECT 'candidates', count(*) FROM cands WHERE n_edges < 40 UNION ALL SELECT 'classified', count(*) FROM cands WHERE n_edges < 40 UNION ALL SELECT 'dense_subgraphs', count(*) FROM found",
+            *mined,
+        ),
+        "result_nodes": _sql(
+            "SELECT name, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS position, sids FROM (SELECT node AS name, min([s, place, side]) AS first, array_to_string(list_sort(list_distinct(list(sid))), ',') AS sids FROM (SELECT s, sid, place, unnest([0, 1]) AS side, unnest([src, dst]) AS node FROM used) GROUP BY node)",
+            *viewed,
+        ),
+        "result_edges": _sql("SELECT src, dst, array_to_string(list_sort(list_distinct(list(sid))), ',') AS sids FROM used GROUP BY src, dst", *viewed),
+        "result_densities": _sql("SELECT id, value FROM classes", *viewed),
         "explode_view": _sql(
             f"SELECT t AS number, src AS source, dst AS target FROM (SELECT t, src, dst, count(*) OVER (PARTITION BY t) AS m FROM snap JOIN edges USING (edge_id) WHERE src < 6 AND dst < 6) WHERE m >= {K}"
         ),
@@ -426,8 +566,9 @@ WHERE c_nationkey <> s_nationkey GROUP BY ALL""",
 _QUERIES = (
     edge_series, edge_support_weighted, edge_snapshots, edge_zscore, node_dictionary, incidence, static_degree, snapshot_degree, snapshot_avg_degree,
     min_degree_node, pearson_pairs, pearson_pairs_dense, pearson_pairs_weighted, euclidean_pairs, minhash_codes, minhash_candidates, minhash_pairs,
-    correlation_adjacency, correlation_components, maximal_cliques, candidate_components, candidate_connected, maximal_candidates, jaccard_pairs,
-    candidate_nodes, k_edge_snapshots, min_density, avg_density, dense_direct_min, dense_direct_avg, dense_extracted, dense_subgraphs_min,
+    edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, candidate_degrees, clique_check, graph_components,
+    result_file, run_statistics, stage_counts, correlation_adjacency, correlation_components, maximal_cliques, candidate_components, candidate_connected, maximal_candidates, jaccard_pairs,
+    candidate_nodes, k_edge_snapshots, min_density, avg_density, dense_direct_min, dense_direct_avg, dense_extracted, dense_extracted_min, dense_subgraphs_min,
     dense_subgraphs_avg, dense_subgraphs_diverse, dense_subgraphs_approximate, explode_view, result_nodes, result_edges, result_densities,
     snapshot_stream_cells,
 )

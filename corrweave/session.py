@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: `spark.checkpoint.dir`, or a folder of our own where that is unset (tests)."""
+    """The shared folder of the cluster: `spark.checkpoint.dir`; a local session without it (as in tests) gets a temporary one.
+
+    Executors of a cluster can't see a folder of the driver's machine, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="corrweave-checkpoint-")
-        sc.setCheckpointDir(where)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
 

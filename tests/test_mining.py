@@ -235,3 +235,30 @@ def test_classify_is_parallel_and_total(spark, f1):
     cands = spark.createDataFrame([([0, 1, 2, 3],), ([4, 5, 6],), ([7],)], "edges array<long>")
     got = {tuple(r["cand"]): r["class"] for r in classify(cands, f1, Rules(2.0, 1, "min")).collect()}
     assert got == {(0, 1, 2, 3): "extracted", (4, 5, 6): "direct", (7,): "pruned"}
+
+
+def test_classify_deals_candidates_to_tasks(spark, f1):
+    cands = spark.createDataFrame([([i, j],) for i in range(9) for j in range(i + 1, 9)], "edges array<long>")
+    tasks = classify(cands, f1, Rules(2.0, 1, "min")).withColumn("p", F.spark_partition_id())
+    assert tasks.select("p").distinct().count() > 1
+
+
+def test_constant_edges_form_no_hashed_pairs(spark):
+    ends = {e: (e, e + 1) for e in range(40)}
+    series = {e: [1, 1, 1, 1] for e in range(38)} | {38: [1, 0, 1, 0], 39: [1, 0, 1, 0]}
+    got = cor.minhash_candidates(table(spark, ends, series), 2, 2).collect()
+    assert [(r["e1"], r["e2"]) for r in got] == [(38, 39)]
+
+
+def test_clique_checks_degrees_and_graph_components(spark, f1):
+    pairs = cor.sparse_pairs(f1, 0.6).cache()
+    df = spark.createDataFrame([([0, 1, 2, 3],), ([0, 1, 2],), ([0, 4],), ([4, 5, 6],), ([8],)], "edges array<long>")
+    got = {r["k"]: (r["is_clique"], r["is_maximal"]) for r in cliq.check_cliques(df, pairs).collect()}
+    assert got == {"0,1,2,3": (True, True), "0,1,2": (True, False), "0,4": (False, False), "4,5,6": (True, True), "8": (True, True)}
+    assert {r["edge_id"]: r["degree"] for r in cor.degrees(pairs).collect()} == {0: 3, 1: 3, 2: 3, 3: 3, 4: 2, 5: 2, 6: 2}
+    near = {(r["k"], r["edge_id"]): (r["near"], r["far"], r["largeness"]) for r in cor.degrees_in_sets(df, pairs).collect()}
+    assert near["0,1,2,3", 0] == (3, 0, 0.75) and near["0,4", 4] == (0, 1, 0.0) and near["8", 8] == (0, 0, 0.0)
+    parts = spark.createDataFrame([(0, 5, 6), (1, 6, 7), (2, 9, 9), (3, 10, 11)], "edge_id long, src long, dst long")
+    from corrweave.operators.components import graph_components
+
+    assert {r["edge_id"]: r["component"] for r in graph_components(parts).collect()} == {0: 5, 1: 5, 2: 9, 3: 10}

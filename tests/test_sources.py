@@ -110,6 +110,75 @@ def test_service(spark, tmp_path):
     assert [x["number"] for x in json.loads(service.get_exploded())] == [0, 1, 3]
 
 
+def test_form_routes_and_polls(spark, tmp_path):
+    from test_mining import F1
+
+    form = {"config": "Form", "fileGroup": "local", "path_local": write(tmp_path, F1), "correlation": "0.6", "density": "2", "densityGroup": "Minimum", "edgesxsnaps": "1", "sizeRange": "40", "epsilon": "1"}
+    service = M.Service(spark)
+    assert service.launch_task_from_form(form) == "ack" and len(json.loads(service.get_results("Form"))["nodes"]) == 6
+    assert service.launch_exploration_from_form("form", [(0, 1), (0, 2), (1, 2), (3, 2)]) == "ack"
+    assert [x["number"] for x in json.loads(service.get_exploded())] == [0, 1, 3, 5]
+    assert [service.get_results("none") for _ in range(5)] == ["UNAVAILABLE"] * 3 + [None, "UNAVAILABLE"]
+
+
+SETTINGS = """
+# Folders
+dataFolder="data"
+outputFolder="out"
+one_db='alpha'
+two_db='beta'
+one_defaults=0.7,2.3,1,false,false
+two_defaults=0.9,2.5,20,true,true
+one_dens=3,2.9 # values
+one_cor=0.5,0.6,1
+two_dens=4
+two_cor=0.5
+one_flags="1,1"
+two_flags="0,0,0"
+maxCCSize=40
+maxJac=0.0
+hashFuncs=( 3 4 )
+hashRuns=( 1 9 )
+isExact="true"
+"""
+
+
+def test_sweep_from_settings():
+    runs = C.sweep_from_settings(SETTINGS)
+    assert len(runs) == 10 and {r.name for r in runs} == {"alpha.csv"} and runs[0].path == "data/alpha.csv" and runs[0].output == "out/exact"
+    assert sorted({(r.min_cor, r.min_den) for r in runs}) == [(0.5, 2.3), (0.6, 2.3), (0.7, 2.9), (0.7, 3.0), (1.0, 2.3)]
+    runs = C.sweep_from_settings(SETTINGS.replace('"true"', '"false"').replace('two_flags="0', 'two_flags="1'))
+    assert len(runs) == 24 and {(r.hash_funcs, r.hash_runs) for r in runs} == {(3, 1), (4, 9)} and {r.output for r in runs} == {"out/ax"}
+    two = [r for r in runs if r.name == "beta.csv"]
+    assert all(r.weighted and r.labeled and r.min_edges_in_snap == 20 for r in two) and {r.density for r in two} == {"min", "avg"}
+
+
+def test_stages_are_timed(spark, tmp_path):
+    from test_mining import F1
+
+    c = MineConfig(path=write(tmp_path, F1), min_cor=0.6, min_den=2, min_edges_in_snap=1, density="min", max_cc_size=40, max_jac=1.0)
+    found, stages = M.staged(M.load(spark, c), c)
+    assert [(n, k) for n, k, _ in stages] == [("correlated_pairs", 9), ("maximal_cliques", 2), ("candidates", 2), ("classified", 2), ("dense_subgraphs", 2)]
+    assert found.count() == 2 and all(s > 0 for _, _, s in stages)
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from corrweave.session import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_stream_of_edges(spark, tmp_path):
     rows = [(1, 2, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 05:00:00"), (1, 2, "2024-01-03 00:00:00"), (4, 4, "2024-01-01 00:00:00")]
     batch = spark.createDataFrame(rows, "src long, dst long, ts string").withColumn("ts", F.to_timestamp("ts"))
