@@ -5,37 +5,45 @@ unigram model with one class for unknown words,
 
     P(w | h) = (c(h w) + MASS * P(w | h')) / (c(h) + MASS),
 
-h' being h without its first word. As an automaton: a state for each history,
-an arc for each n-gram seen in training, and a failure arc from h to h' that
-weighs MASS / (c(h) + MASS). A text is one left-to-right traversal that carries
-the state and adds log-probabilities (`Automaton.score` states it token by
-token; `Automaton.scores` does the same for all positions at once).
+h' being h without its first word. As an automaton: a state for each history
+seen in training, an arc for each n-gram seen in training that weighs its
+smoothed probability, and a failure arc from h to h' that weighs
+MASS / (c(h) + MASS). A text is one left-to-right traversal that carries the
+state: where a state has no arc for the next word, failure arcs are taken and
+their weights added until one has; the root has an arc for every word.
 
 Counts cover every training text and every n-gram, without cutoffs, so the
 automaton grows with the corpus and is never held in one place. Documents are
 dealt to blocks of a bounded size. A block sends the distinct hashed n-grams
-it contains, with its training counts, to parts that own a range of hashes;
-a part adds the counts up and answers each block with the totals in the order
-of its question, a byte or less for most; the block builds the sub-automaton
-of its own n-grams and traverses its texts. An n-gram comes once from each
-block however often it occurs, so frequent ones are no hot spot, and nothing
-goes to the driver but the size of the input. Questions and answers are one row
-for each block and part, as the pieces of any shuffle; `block_bytes` sets how many.
+it contains, with its training counts, to the owners of ranges of hashes; an
+owner adds the counts up and answers with the totals in the order of the
+question; the block then builds the sub-automaton of its own n-grams (states,
+arcs, failure arcs) and traverses its texts with it, all of them in step.
+
+Questions take as many hops as keep each block's messages at `RADIX` a hop: in
+hop i the blocks whose numbers differ in digit i only exchange by the i-th
+digit of the hash range and merge what they hear, and answers go back the same
+way. So messages are in proportion to blocks, not to their square, and what a
+task holds stays that of a block or of its share of the n-grams. An n-gram comes
+once from each block however often it occurs, so frequent ones are no hot
+spot. Nothing goes to the driver but the size of the input.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased and one end for
 each text. N-grams are told apart by 64-bit hashes.
 
-Defined cases: a null or empty text is its end token alone; a null doc_id
-counts as the empty text for the choice of training rows; repeated rows each
-count and are scored each; without any training token every probability is
-the unknown class's; an empty table gives an empty result; further columns are
-ignored.
+Defined cases: a null or empty text is its end token alone; a very long text is
+traversed in runs of `LANE` tokens, each of which takes up the state by reading
+the order - 1 tokens before it (a state depends on no more), and a block is
+never smaller than its longest text; a null doc_id counts as the empty text for
+the choice of training rows; repeated rows each count and are scored each, but
+are tokenized and traversed once (rows equal in doc_id and text share a block);
+without any training token every probability is the unknown class's; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +56,10 @@ from .common import held_out_remainder, table, text_bytes
 ORDER = 2
 MASS = 1000.0
 BLOCK_BYTES = 16 << 20
+#: Messages of a block in one hop, at most.
+RADIX = 128
+#: Tokens of a run.
+LANE = 2048
 MODULUS, HELD_OUT = 5, 1
 
 _END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
@@ -96,50 +108,117 @@ class Block:
                 before[self.starts] = np.uint64(_START)
             self.keys.append(_mix(before ^ np.uint64(n), flat))
 
-    def distinct(self, level: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct n-grams, their training counts here, and each position's place among them."""
-        keys, inverse = np.unique(self.keys[level], return_inverse=True)
-        weight = np.repeat(train, self.lengths)
-        return keys, np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64), inverse
+    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams, and each position's place among them."""
+        return np.unique(self.keys[level], return_inverse=True)
+
+
+ROOT, START = 0, 1
 
 
 class Automaton:
-    """Arcs and failure weights from counts.
+    """States, arcs and failure arcs over the n-grams of a block.
 
-    `counts[n-1]` maps every position of a block to its n-gram's count in
-    training; `total` and `n_words` are training tokens and distinct ones.
+    `grams[n-1]` is (training count of each distinct n-gram, each position's
+    place among them); `total`, `n_words` and `n_texts` are training tokens,
+    distinct ones, and texts.
     """
 
-    def __init__(self, total: int, n_words: int, mass: float = MASS):
-        self.total, self.n_words, self.mass = total, n_words, mass
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.total + 0.5 * (self.n_words + 1))
-
-    def scores(self, block: Block, counts: list[np.ndarray], n_texts: int) -> np.ndarray:
-        """log10 probability at every position. n_texts: training texts, the count of the start state."""
-        p = self.unigram(counts[0])
-        for n in range(2, len(counts) + 1):
-            history = np.empty_like(counts[0])
-            history[1:] = counts[n - 2][:-1]
-            if len(history):
-                history[block.starts] = n_texts
-            deep = block.place >= n - 2  # else the history would begin before the start mark
-            p = np.where(deep, (counts[n - 1] + self.mass * p) / (history + self.mass), p)
-        return np.log10(p)
-
-    def score(self, text: str | None, gram_counts: dict[tuple[bytes, ...], int], order: int = ORDER) -> float:
-        """One traversal, token by token, over an automaton of all n-grams (tuples of tokens, start and end marks b" " and b"\\n")."""
-        state: tuple[bytes, ...] = (b" ",)
-        total = 0.0
-        for w in [*tokens(text), b"\n"]:
-            p = (gram_counts.get((w,), 0) + 0.5) / (self.total + 0.5 * (self.n_words + 1))
-            for k in range(1, min(len(state), order - 1) + 1):
-                h = state[len(state) - k :]
-                p = (gram_counts.get((*h, w), 0) + self.mass * p) / (gram_counts.get(h, 0) + self.mass)
-            total += float(np.log10(p))
-            state = (*state, w)[-max(1, order - 1) :]
-        return total
+    def __init__(self, block: Block, grams: list[tuple[np.ndarray, np.ndarray]], total: int, n_words: int, n_texts: int, mass: float = MASS):
+        self.order = len(grams)
+        self.tokens = grams[0][1]
+        p = (grams[0][0] + 0.5) / (total + 0.5 * (n_words + 1))
+        self.root_weight = np.log10(p)
+        self.n_tokens = len(p)
+        fail_weight, fail_to = [[0.0, np.log10(mass / (n_texts + mass))]], [[ROOT, ROOT]]
+        keys, weights, targets, froms = [], [], [], []
+        state_of: list[np.ndarray] = []  # for each level, the state of each distinct n-gram, ROOT where it has none
+        n_states = 2
+        for n, (count, at) in enumerate(grams, 1):
+            where = np.empty(len(count), dtype=np.int64)
+            where[at] = np.arange(len(at))  # one position of each distinct n-gram
+            seen = np.flatnonzero((count > 0) & (block.place[where] >= n - 2))  # else its history would begin before the start mark
+            pos = where[seen]
+            if n > 1:
+                before, first = pos - 1, block.place[pos] == 0
+                history = np.where(first, n_texts, grams[n - 2][0][grams[n - 2][1][before]])
+                lower = p[grams[n - 2][1][where]]
+                p_seen = (count[seen] + mass * lower[seen]) / (history + mass)
+                froms.append(np.where(first, START, state_of[n - 2][grams[n - 2][1][before]]))
+                keys.append(froms[-1] * self.n_tokens + self.tokens[pos])
+                weights.append(np.log10(p_seen))
+                p = np.zeros(len(count))
+                p[seen] = p_seen  # only what is seen has arcs above it
+            if n < self.order:
+                own = np.zeros(len(count), dtype=np.int64)
+                own[seen] = n_states + np.arange(len(seen))
+                n_states += len(seen)
+                state_of.append(own)
+                fail_weight.append(np.log10(mass / (count[seen] + mass)))
+                fail_to.append(state_of[n - 2][grams[n - 2][1][pos]] if n > 1 else np.zeros(len(seen), dtype=np.int64))
+            if n > 1:
+                m = min(n, self.order - 1)
+                targets.append(state_of[m - 1][grams[m - 1][1][pos]])
+        self.root_to = state_of[0] if state_of else np.zeros(self.n_tokens, dtype=np.int64)
+        self.fail_weight, self.fail_to = np.concatenate(fail_weight), np.concatenate(fail_to).astype(np.int64)
+        none = np.array([np.iinfo(np.int64).max])  # no state has this arc
+        key = np.concatenate([*keys, none])
+        by_key = np.argsort(key, kind="stable")
+        self.arc = key[by_key]
+        self.arc_weight = np.concatenate([*weights, [0.0]])[by_key]
+        self.arc_to = np.concatenate([*targets, [ROOT]]).astype(np.int64)[by_key]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the weights of the arcs taken."""
+        weight, to = np.zeros(len(state)), np.empty(len(state), dtype=np.int64)
+        left = np.arange(len(state))
+        for _ in range(self.order - 1):
+            key = state * self.n_tokens + token
+            i = np.searchsorted(self.arc, key)
+            hit = self.arc[i] == key
+            got, arcs = left[hit], i[hit]
+            weight[got] += self.arc_weight[arcs]
+            to[got] = self.arc_to[arcs]
+            miss = ~hit
+            left, state, token = left[miss], state[miss], token[miss]
+            weight[left] += self.fail_weight[state]
+            state = self.fail_to[state]
+        weight[left] += self.root_weight[token]
+        to[left] = self.root_to[token]
+        return to, weight
+
+    def score(self, starts: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """log10 probability of each text, by one traversal from left to right of all texts in step."""
+        n_runs = -(-lengths // lane)
+        text = np.repeat(np.arange(len(lengths)), n_runs)
+        run = np.arange(len(text)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+        begin = starts[text] + run * lane
+        size = np.minimum(lane, lengths[text] - run * lane)
+        warm = np.minimum(run * lane, self.order - 1)  # tokens read before the run's own
+        begin, size = begin - warm, size + warm
+        order = np.argsort(-size, kind="stable")
+        text, begin, size, warm = text[order], begin[order], size[order], warm[order]
+        state = np.where(begin == starts[text], START, ROOT)
+        sums = np.zeros(len(text))
+        for t in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -t, side="left"))  # runs with a token here
+            state[:m], weight = self.step(state[:m], self.tokens[begin[:m] + t])
+            sums[:m] += weight if t >= self.order - 1 else np.where(t >= warm[:m], weight, 0.0)
+        return np.bincount(text, weights=sums, minlength=len(lengths))
+
+
+def score_text(text: str | None, counts: dict[tuple[bytes, ...], int], total: int, n_words: int, order: int = ORDER, mass: float = MASS) -> float:
+    """The formula, token by token, over the counts of all n-grams (tuples of tokens, start and end marks b" " and b"\n"); for tests."""
+    history: tuple[bytes, ...] = (b" ",)
+    out = 0.0
+    for w in [*tokens(text), b"\n"]:
+        p = (counts.get((w,), 0) + 0.5) / (total + 0.5 * (n_words + 1))
+        for k in range(1, min(len(history), order - 1) + 1):
+            h = history[len(history) - k :]
+            p = (counts.get((*h, w), 0) + mass * p) / (counts.get(h, 0) + mass)
+        out += float(np.log10(p))
+        history = (*history, w)[-max(1, order - 1) :]
+    return out
 
 
 def _compact(counts: np.ndarray) -> bytes:
@@ -150,99 +229,189 @@ def _counts(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-def _split(keys: np.ndarray, n_parts: int) -> np.ndarray:
-    """Bounds of the parts in sorted keys: a part owns a range of hashes."""
-    width = (1 << 64) // n_parts + 1
-    return np.searchsorted(keys, np.array([p * width for p in range(1, n_parts)], dtype=np.uint64)).astype(np.int64)
+class Hops:
+    """Who asks whom: numbers of blocks and ranges of hashes in the same `depth` digits."""
+
+    def __init__(self, n_blocks: int, radix: int = RADIX):
+        self.depth = 1
+        while radix**self.depth < n_blocks:
+            self.depth += 1
+        self.radix = next(r for r in range(1, n_blocks + 1) if r**self.depth >= n_blocks)
+        self.width = (1 << 64) // self.radix**self.depth + 1
+
+    def ask(self, node: int, hop: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple]:
+        """A node's messages (to, frm, keys, counts) in a hop: one to each of its partners, by the ranges of their hashes."""
+        own = 0  # the range that the node holds by the digits of the earlier hops
+        for i in range(hop):
+            own = own * self.radix + node // self.radix**i % self.radix
+        step = self.width * self.radix ** (self.depth - 1 - hop)
+        low = own * step * self.radix
+        bounds = np.array([min(low + j * step, (1 << 64) - 1) for j in range(1, self.radix)], dtype=np.uint64)
+        cuts = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k in keys]
+        digit = node // self.radix**hop % self.radix
+        out = []
+        for j in range(self.radix):
+            parts = [(k[c[j] : c[j + 1]], n[c[j] : c[j + 1]]) for k, n, c in zip(keys, counts, cuts, strict=True)]
+            to = node + (j - digit) * self.radix**hop
+            out.append((to, node, [k.astype("<u8").tobytes() for k, _ in parts], [_compact(n) for _, n in parts]))
+        return out
+
+
+ASKED = "to long, frm long, keys array<binary>, counts array<binary>"
+ANSWERED = "to long, frm long, counts array<binary>, n_tokens long, n_words long"
+_BINARIES = pa.list_(pa.binary())
+
+
+def _rows(out: list[tuple], names: list[str]) -> pa.Table:
+    kinds = {"keys": _BINARIES, "counts": _BINARIES}
+    return pa.Table.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(zip(*out, strict=True), names, strict=True)], names=names)
+
+
+def _questions(t: pa.Table) -> tuple[list[int], list[list[np.ndarray]], list[list[np.ndarray]]]:
+    """Who asks (ascending), and for each level the keys and counts of each."""
+    t = t.sort_by("frm")
+    keys = [[np.frombuffer(b, dtype="<u8") for b in level] for level in zip(*t.column("keys").to_pylist(), strict=True)]
+    counts = [[_counts(b) for b in level] for level in zip(*t.column("counts").to_pylist(), strict=True)]
+    return t.column("frm").to_pylist(), keys, counts
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts, and each key's place among them."""
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), inverse
+
+
+def _answers(node: int, frm: list[int], keys: list[list[np.ndarray]], totals: list[np.ndarray], places: list[np.ndarray], n_tokens: int, n_words: int) -> pa.Table:
+    levels = []
+    for k, total, place in zip(keys, totals, places, strict=True):
+        levels.append([_compact(x) for x in np.split(total[place], np.cumsum([len(x) for x in k])[:-1])])
+    out = [(to, node, list(packed), n_tokens, n_words) for to, packed in zip(frm, zip(*levels, strict=True), strict=True)]
+    return _rows(out, ["to", "frm", "counts", "n_tokens", "n_words"])
+
+
+def _heard(answers: pa.Table) -> tuple[list[np.ndarray], int, int]:
+    """The totals of a node's own keys, level by level, and the training tokens and distinct words of all answers."""
+    t = answers.sort_by("frm")
+    totals = [np.concatenate([_counts(b) for b in level]) for level in zip(*t.column("counts").to_pylist(), strict=True)]
+    return totals, sum(t.column("n_tokens").to_pylist()), sum(t.column("n_words").to_pylist())
+
+
+def relay(hops: Hops, hop: int):
+    """Merges what a node heard and asks on, in hop `hop`."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, keys, counts = _questions(t)
+        merged = [_merged(k, c)[:2] for k, c in zip(keys, counts, strict=True)]
+        return _rows(hops.ask(t.column("to")[0].as_py(), hop, *map(list, zip(*merged, strict=True))), ["to", "frm", "keys", "counts"])
+
+    return run
 
 
-def _block(batches: pa.Table, order: int) -> tuple[Block, np.ndarray, pa.Table]:
-    """A block's texts in an order that doesn't depend on how they arrived."""
+def answer(t: pa.Table) -> pa.Table:
+    """What the owner of a range answers."""
+    frm, keys, counts = _questions(t)
+    merged = [_merged(k, c) for k, c in zip(keys, counts, strict=True)]
+    words = merged[0][1]
+    return _answers(t.column("to")[0].as_py(), frm, keys, [m[1] for m in merged], [m[2] for m in merged], int(words.sum()), int((words > 0).sum()))
+
+
+def hand_back(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """Answers to a node's merged question, dealt to those who had asked it."""
+    if not asked.num_rows:
+        return pa.Table.from_pylist([], schema=pa.schema([("to", pa.int64()), ("frm", pa.int64()), ("counts", _BINARIES), ("n_tokens", pa.int64()), ("n_words", pa.int64())]))
+    frm, keys, _ = _questions(asked)
+    totals, n_tokens, n_words = _heard(answers)
+    places = [np.unique(np.concatenate(k), return_inverse=True)[1] for k in keys]
+    return _answers(asked.column("to")[0].as_py(), frm, keys, totals, places, n_tokens, n_words)
+
+
+def _block(batches: pa.Table, order: int) -> tuple[Block, np.ndarray, np.ndarray, pa.Table]:
+    """A block's distinct rows in an order that doesn't depend on how they arrived, which of them are for training, and how often each occurs."""
     t = batches.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if batches.num_rows else batches
-    return Block(t.column("text").to_pylist(), order), t.column("train").to_numpy(zero_copy_only=False).astype(np.int64), t
+    ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+    new = np.array([i == 0 or ids[i] != ids[i - 1] or texts[i] != texts[i - 1] for i in range(len(ids))], dtype=bool)
+    first = np.flatnonzero(new)
+    t = t.take(pa.array(first))
+    train = t.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+    return Block([texts[i] for i in first.tolist()], order), train, np.diff([*first.tolist(), len(ids)]), t
+
+
+def n_blocks_of(size: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(6, -(-size // block_bytes))
+
+
+def questions(slim: DataFrame, hops: Hops, order: int = ORDER) -> list[DataFrame]:
+    """The messages (to, frm, keys, counts) of each hop; slim: doc_id, text, train, block."""
+
+    def ask(batches: pa.Table) -> pa.Table:
+        block, train, times, _ = _block(batches, order)
+        weight = np.repeat(train * times, block.lengths)
+        keys, counts = [], []
+        for level in range(order):
+            k, at = block.distinct(level)
+            keys.append(k)
+            counts.append(np.bincount(at, weights=weight, minlength=len(k)).astype(np.int64))
+        return _rows(hops.ask(batches.column("block")[0].as_py(), 0, keys, counts), ["to", "frm", "keys", "counts"])
+
+    asked = [slim.groupBy("block").applyInArrow(ask, ASKED)]
+    for hop in range(1, hops.depth):
+        asked.append(asked[-1].groupBy("to").applyInArrow(relay(hops, hop), ASKED))
+    return asked
 
 
 def score_documents(
-    docs: DataFrame, order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES, modulus: int = MODULUS, held_out: int = HELD_OUT
+    docs: DataFrame,
+    order: int = ORDER,
+    mass: float = MASS,
+    block_bytes: int = BLOCK_BYTES,
+    modulus: int = MODULUS,
+    held_out: int = HELD_OUT,
+    radix: int = RADIX,
+    lane: int = LANE,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score of each row."""
     _, size = text_bytes(docs)
-    n = max(6, -(-size // block_bytes))
-    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    slim = docs.select(
-        doc_id.alias("doc_id"),
-        text.alias("text"),
-        (held_out_remainder(docs["doc_id"], modulus) != held_out).alias("train"),
-        F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias("block"),
-    )
-
-    def ask(batches: pa.Table) -> pa.Table:
-        block, train, _ = _block(batches, order)
-        out: list[tuple] = []
-        own = batches.column("block")[0].as_py()
-        for level in range(order):
-            keys, counts, _ = block.distinct(level, train)
-            cuts = _split(keys, n)
-            for p, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
-                if level == 0 or len(k):  # every part hears of every block, so that each block gets all the sums
-                    out.append((own, p, level, k.astype("<u8").tobytes(), _compact(c)))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.Table.from_arrays(cols, names=["block", "part", "level", "keys", "counts"])
-
-    asked = slim.groupBy("block").applyInArrow(ask, "block int, part int, level int, keys binary, counts binary")
-
-    def answer(batches: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        levels = batches.column("level").to_numpy()
-        blocks = batches.column("block").to_numpy()
-        part = batches.column("part")[0].as_py()
-        for level in range(order):
-            rows = np.flatnonzero(levels == level)
-            if not len(rows):
-                continue
-            keys = [np.frombuffer(batches.column("keys")[int(i)].as_py(), dtype="<u8") for i in rows]
-            counts = [_counts(batches.column("counts")[int(i)].as_py()) for i in rows]
-            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-            got = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-            n_tokens, n_words = int(total.sum()), int((total > 0).sum())
-            out += [(int(blocks[i]), part, level, _compact(g), n_tokens, n_words) for i, g in zip(rows, got, strict=True)]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.Table.from_arrays(cols, names=["block", "part", "level", "counts", "n_tokens", "n_words"])
-
-    answered = asked.groupBy("part").applyInArrow(answer, "block int, part int, level int, counts binary, n_tokens long, n_words long")
+    n = n_blocks_of(size, block_bytes)
+    hops = Hops(n, radix)
+    slim = blocks_of(docs, n, modulus, held_out)
+    asked = questions(slim, hops, order)
+    answered = asked[-1].groupBy("to").applyInArrow(answer, ANSWERED)
+    for earlier in reversed(asked[:-1]):
+        answered = earlier.groupBy("to").cogroup(answered.groupBy("to")).applyInArrow(hand_back, ANSWERED)
 
     def traverse(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block, train, t = _block(texts, order)
-        answers = answers.sort_by([("level", "ascending"), ("part", "ascending")])
-        levels = answers.column("level").to_numpy()
-        first = levels == 0
-        total, n_words = (int(answers.column(c).to_numpy()[first].sum()) for c in ("n_tokens", "n_words"))
-        counts = []
+        block, train, times, t = _block(texts, order)
+        totals, n_tokens, n_words = _heard(answers)
+        grams, n_texts = [], 0
         for level in range(order):
-            keys, _, inverse = block.distinct(level, train)
-            known = np.concatenate([_counts(answers.column("counts")[int(i)].as_py()) for i in np.flatnonzero(levels == level)])
+            keys, at = block.distinct(level)
+            grams.append((totals[level], at))
+            block.keys[level] = keys[:0]  # no longer needed
             if level == 0:
-                n_texts = int(known[np.searchsorted(keys, np.uint64(_END))])
-            counts.append(known[inverse])
-        model = Automaton(total, n_words, mass)
-        each = model.scores(block, counts, n_texts)
+                n_texts = int(totals[0][np.searchsorted(keys, np.uint64(_END))])
+        automaton = Automaton(block, grams, n_tokens, n_words, n_texts, mass)
         sums = lambda x: np.add.reduceat(x, block.starts)  # noqa: E731  every text has a token
         cols = {
             "doc_id": t.column("doc_id").combine_chunks(),
             "held_out": pa.array(train == 0),
             "n_tokens": pa.array(block.lengths),
-            "n_known": pa.array(sums((counts[0] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(train), total, dtype=np.int64)),
-            "base_score": pa.array(sums(np.log10(model.unigram(counts[0])))),
-            "score": pa.array(sums(each)),
+            "n_known": pa.array(sums((totals[0] > 0)[automaton.tokens].astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(train), n_tokens, dtype=np.int64)),
+            "base_score": pa.array(sums(automaton.root_weight[automaton.tokens])),
+            "score": pa.array(automaton.score(block.starts, block.lengths, lane)),
         }
-        return pa.table(cols)
+        found = pa.table(cols)
+        return found if (times == 1).all() else found.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return slim.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(traverse, schema)
+    return slim.groupBy("block").cogroup(answered.groupBy("to")).applyInArrow(traverse, schema)
+
+
+def blocks_of(docs: DataFrame, n: int, modulus: int = MODULUS, held_out: int = HELD_OUT) -> DataFrame:
+    """doc_id, text, train and block of each row."""
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    train = held_out_remainder(docs["doc_id"], modulus) != held_out
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), train.alias("train"), F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("long").alias("block"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
