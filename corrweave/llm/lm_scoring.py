@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from .common import held_out_remainder, table, text_bytes
 
 ORDER = 2
-MASS = 1000.0
+MASS = 300.0
 BLOCK_BYTES = 16 << 20
 #: Messages of a block in one hop, at most.
 RADIX = 128

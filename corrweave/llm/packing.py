@@ -5,10 +5,12 @@ the corpus is folded to a histogram of at most `capacity` rows whatever its
 size. The histogram is packed on the driver by bin completion: best-fit
 decreasing gives the incumbent; where it isn't proven optimal by the waste
 bound, a branch and bound takes the largest remaining length, enumerates
-the undominated fillings of the rest of its sequence in order of waste, and
-prunes branches whose waste can't beat the incumbent. A filling is applied to
-as many sequences at once as the counts allow, so the search does not grow
-with the corpus either.
+the undominated fillings of the rest of its sequence in order of waste, up to
+the waste at which the incumbent can't be beaten, and completes some of its
+partial plans by best fit. A filling is applied to as many sequences at once
+as the counts allow, so the search does not grow with the corpus either. It
+ends after `NODES` nodes or `STEPS` enumeration steps (parameters); the
+incumbent then stands.
 
 Every piece then gets its rank among the pieces of its length, by a window
 over (length, salt) plus the counts of the earlier salts, and the rank picks
@@ -18,15 +20,15 @@ length). A length that a third of all rows share is spread over the salts.
 Documents are tokenized once; their slim pieces are checkpointed.
 
 Defined cases: a null or empty text is the one token `end_id`; documents
-longer than the capacity, and only they, are cut into full pieces and a rest;
-null doc_ids and repeated rows are packed row by row; an empty table gives an
-empty result; further columns of the input are ignored.
+longer than the capacity, and only they, are cut into full pieces and a rest,
+however long they are; null doc_ids and repeated rows are packed row by row,
+and spread over the salts by where they stand in the checkpointed table; an
+empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import re
 import unicodedata
@@ -46,7 +48,8 @@ from .common import cut, table
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-NODES = 1_000
+#: Nodes of the search, and steps of all its enumerations.
+NODES, STEPS = 1_000, 300_000
 #: Rows for each rank window, about.
 SALT_ROWS = 200_000
 
@@ -59,22 +62,24 @@ class WordEncoder:
 
     The tokenizer's own parts never cross white space, and its normalizer
     works within words, so a text's ids are its words' ids in a row. Ids of
-    words are kept (up to `most` words, then the store starts anew). Words of
+    words are kept (up to `most` words or `most_bytes`, then the store starts
+    anew, so that it never holds more than one text beyond that). Words of
     Latin letters are parted by the tokenizer's own pattern and go straight
     to its model, part by part; any other word takes the tokenizer's whole
-    path.
+    path, and so does a whole text that holds one of the tokenizer's added
+    tokens.
     """
 
     #: Control characters, no-break space, and what lies beyond the Latin blocks.
     OTHER = re.compile("[\x00-\x1f\x7f-\xa0]|[^\x00-\u024f]")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
         normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.pattern = None
@@ -86,11 +91,13 @@ class WordEncoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [c for c in range(256) if c not in shown]
         self.alphabet = {c: 256 + i for i, c in enumerate(hidden)}
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         self.parts: dict[str, bytes] = {}  # ids as packed 32-bit numbers
+        self.part_bytes = 0
         self._reset()
 
     def _reset(self) -> None:
+        self.word_bytes = 0
         self.place: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.starts = np.empty(1 << 16, dtype=np.int64)
@@ -100,10 +107,12 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= self.most * 2 // 3:
+            if len(self.parts) >= self.most * 2 // 3 or self.part_bytes > self.most_bytes:
                 self.parts.clear()
+                self.part_bytes = 0
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)  # ASCII parts are printable
             ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            self.part_bytes += len(part) + len(ids)
         return ids
 
     def _word(self, word: bytes) -> bytes:
@@ -137,15 +146,18 @@ class WordEncoder:
         self.lengths[k : k + len(new)] = n
         self.place.update(zip(new, range(k, k + len(new)), strict=True))
         self.used += len(flat)
+        self.word_bytes += sum(map(len, new)) + 4 * len(flat)
 
     def encode(self, text: str) -> np.ndarray:
+        if any(token in text for token in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         found = text.encode(errors="replace").lower().split()  # of bytes: ASCII letters and ASCII white space
         if not found:
             return np.empty(0, dtype=np.uint32)
         place = self.place
         new = [w for w in dict.fromkeys(found) if w not in place]
         if new:
-            if len(place) + len(new) > self.most and place:
+            if place and (len(place) + len(new) > self.most or self.word_bytes > self.most_bytes):
                 self._reset()
                 place, new = self.place, list(dict.fromkeys(found))
             self._learn(new)
@@ -266,94 +278,153 @@ def best_fit(hist: dict[int, int], capacity: int) -> Plan:
     return sorted(out.items(), reverse=True)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 16) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first, `most` at most.
+class Steps:
+    """A budget of enumeration steps, shared by all nodes of a search."""
 
-    A filling is dominated if some of its lengths, or the room it leaves, can
-    be traded for one longer remaining length that is at least as long as
-    what it replaces.
+    def __init__(self, left: int | None = None):
+        self.left = left
+
+    def take(self, n: int = 1) -> bool:
+        if self.left is not None:
+            self.left -= n
+        return self.left is None or self.left >= 0
+
+
+def _add_sums(sums: int, length: int, times: int) -> int:
+    """A bit set of subset sums, with up to `times` more items of a length."""
+    k = 1
+    while times > 0:
+        take = min(k, times)
+        sums |= sums << take * length
+        times -= take
+        k *= 2
+    return sums
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int | None = None, steps: Steps | None = None) -> Iterator[tuple[tuple[int, int], ...]]:
+    """The undominated fillings ((length, how many), ...; largest first) of `room`, least waste first.
+
+    A filling is dominated if one more remaining length fits, or if some of its
+    lengths can be traded for one remaining length that is at least as long as
+    they are together. They come one by one: nothing beyond what is asked for
+    is enumerated. Ends early if `steps` runs out.
     """
-    fit = [x for x in lengths if x <= room and counts[x]]
+    steps = steps or Steps()
+    fit = sorted(x for x, c in counts.items() if c > 0 and x <= room)
+    most_waste = room if most_waste is None else min(room, most_waste)
     if not fit:
-        return [()]
-    if fit[-1] == room:
-        return [(room,)]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(chosen: tuple[int, ...], left: int, top: int) -> None:
-        nonlocal steps
-        i = bisect.bisect_right(fit, min(left, top)) - 1
-        grown = False
-        while i >= 0 and steps < 40 * most:
-            x = fit[i]
-            if counts[x] > chosen.count(x):
-                grown = True
-                steps += 1
-                extend((*chosen, x), left - x, x)
-            i -= 1
-        if not grown and chosen:
-            found.append((left, chosen))
-
-    extend((), room, room)
-
-    def dominated(left: int, chosen: tuple[int, ...]) -> bool:
-        for k in range(1, min(3, len(chosen)) + 1):
-            for part in itertools.combinations(chosen, k):
-                s = sum(part)
-                i = bisect.bisect_left(fit, s + (k == 1))
-                while i < len(fit) and fit[i] <= s + left:
-                    if counts[fit[i]] > chosen.count(fit[i]):
-                        return True
-                    i += 1
+        if room <= most_waste:
+            yield ()
+        return
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # of the i least lengths
+    for x in fit:
+        reach.append(_add_sums(reach[-1], x, min(counts[x], room // x)) & mask)
+
+    def dominated(chosen: tuple[tuple[int, int], ...], waste: int) -> bool:
+        taken = dict(chosen)
+        least = next((x for x in fit if counts[x] > taken.get(x, 0)), None)
+        if least is None:
+            return False
+        if least <= waste:
+            return True
+        sums, at = 1, len(chosen) - 1
+        for x in fit[bisect.bisect_right(fit, chosen[-1][0]) :]:
+            while at >= 0 and chosen[at][0] < x:
+                sums = _add_sums(sums, *chosen[at])
+                at -= 1
+            low = max(1, x - waste)
+            if counts[x] > taken.get(x, 0) and sums >> low & ((1 << (x - low + 1)) - 1):
+                return True
         return False
 
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    out = [c for left, c in found if not dominated(left, c)]
-    return (out or [found[0][1]])[:most]
-
-
-def pack_lengths(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """Bin completion over a histogram; `nodes` bounds the search, after which the incumbent stands."""
+    def extend(left: int, i: int, chosen: tuple[tuple[int, int], ...], waste: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Fillings that add lengths of fit[:i] with a sum of `left`."""
+        if not steps.take():
+            return
+        taken = dict(chosen)
+        last = False
+        for x in fit[bisect.bisect_left(fit, left) : bisect.bisect_right(fit, left + waste)]:
+            if left and counts[x] > taken.get(x, 0):  # it could stand for all that is to come
+                if x > left or bisect.bisect_left(fit, x) >= i:
+                    return
+                last = True
+        if last:
+            chosen, left = (*chosen, (left, 1)), 0
+        if not left:
+            if steps.take(1 + len(fit) // 16) and not dominated(chosen, waste):
+                yield chosen
+            return
+        for k in range(min(i, bisect.bisect_right(fit, left)) - 1, -1, -1):
+            x = fit[k]
+            for times in range(min(counts[x], left // x), 0, -1):
+                if reach[k] >> (left - times * x) & 1:
+                    yield from extend(left - times * x, k, (*chosen, (x, times)), waste)
+
+    for waste in range(min(most_waste, room - fit[0]) + 1):
+        if sum(x * counts[x] for x in fit[: bisect.bisect_right(fit, waste)]) > room - waste:
+            return  # whatever fits into the waste must be in the filling already
+        if reach[-1] >> (room - waste) & 1:
+            yield from extend(room - waste, len(fit), (), waste)
+
+
+def _merge(plan: tuple) -> Plan:
+    """A plan from its links (filling, times, rest)."""
+    merged: dict[tuple, int] = {}
+    while plan:
+        filling, times, plan = plan
+        merged[filling] = merged.get(filling, 0) + times
+    return sorted(merged.items(), reverse=True)
+
+
+def pack_lengths(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> Plan:
+    """Bin completion over a histogram; `nodes` and `steps` bound the search, after which the incumbent stands."""
     hist = {x: c for x, c in hist.items() if c > 0}
     if any(not 0 < x <= capacity for x in hist):
         raise ValueError("lengths lie between 1 and the capacity")
     best = best_fit(hist, capacity)
-    bound = lower_bound(hist, capacity)
-    total = sum(x * c for x, c in hist.items())
-    lengths = sorted(hist)
-    seen = 0
+    bound, total = lower_bound(hist, capacity), sum(x * c for x, c in hist.items())
+    budget = Steps(steps)
+
+    def spare(waste: int) -> int:
+        """Waste that a plan better than the incumbent may still have."""
+        return (n_sequences(best) - 1) * capacity - total - waste
+
+    def options(counts: dict[int, int], waste: int) -> Iterator[tuple[int, tuple]]:
+        top = max(counts)
+        rest = counts | {top: counts[top] - 1}
+        return ((top, chosen) for chosen in fillings(rest, capacity - top, spare(waste), budget))
 
-    # A depth-first search with its own stack: (counts, plan so far, sequences so far, waste so far).
-    stack: list[tuple[dict[int, int], tuple, int, int]] = [(hist, (), 0, 0)]
+    # A depth-first search with its own stack of (counts, plan so far, sequences so far, waste so far, fillings to try).
+    stack = [(hist, (), 0, 0, options(hist, 0))] if hist and n_sequences(best) > bound else []
+    seen = 0
     while stack and seen < nodes and n_sequences(best) > bound:
-        counts, plan, used, waste = stack.pop()
+        counts, plan, used, waste, todo = stack[-1]
+        top, chosen = next(todo, (0, ()))
+        if not top or spare(waste) < 0:
+            stack.pop()
+            continue
+        need = dict(chosen)
+        need[top] = need.get(top, 0) + 1
+        times = min(counts[x] // k for x, k in need.items())
+        lost = waste + (capacity - sum(x * k for x, k in need.items())) * times
+        if spare(lost) < 0:
+            continue
         seen += 1
-        live = [x for x in lengths if counts.get(x, 0)]
-        if not live:
+        counts = {x: left for x, c in counts.items() if (left := c - need.get(x, 0) * times)}
+        plan, used = (tuple(sorted(need.items(), reverse=True)), times, plan), used + times
+        if not counts:
             if used < n_sequences(best):
-                merged: dict[tuple, int] = {}
-                while plan:
-                    filling, times, plan = plan
-                    merged[filling] = merged.get(filling, 0) + times
-                best = sorted(merged.items(), reverse=True)
+                best = _merge(plan)
             continue
-        if waste > (n_sequences(best) - 1) * capacity - total:
-            continue  # with no further waste it would still take as many sequences as the incumbent
-        top = live[-1]
-        rest = dict(counts)
-        rest[top] -= 1
-        for chosen in reversed(fillings([x for x in live if rest[x]], rest, capacity - top)):
-            need: dict[int, int] = {top: 1}
-            for x in chosen:
-                need[x] = need.get(x, 0) + 1
-            times = min(counts[x] // k for x, k in need.items())
-            after = dict(counts)
-            for x, k in need.items():
-                after[x] -= k * times
-            left = capacity - sum(x * k for x, k in need.items())
-            filling = tuple(sorted(need.items(), reverse=True))
-            stack.append((after, (filling, times, plan), used + times, waste + left * times))
+        stack.append((counts, plan, used, lost, options(counts, lost)))
+        # A dive over many lengths is too deep for the bound on nodes, so best fit completes it at some depths.
+        if len(stack) & (len(stack) - 1) == 0:
+            tail = best_fit(counts, capacity)
+            if used + n_sequences(tail) < n_sequences(best):
+                for filling, k in tail:
+                    plan = (filling, k, plan)
+                best = _merge(plan)
     return best
 
 
@@ -383,12 +454,12 @@ class Places:
         return self.base[i] + t // self.each[i], self.offset[i] + (t % self.each[i]) * length
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, salt_rows: int = SALT_ROWS) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, salt_rows: int = SALT_ROWS, steps: int = STEPS) -> DataFrame:
     """Pieces (of a table that gives the same rows each time) with `sequence_id` and `offset`."""
     hist = {int(r[0]): int(r[1]) for r in cut_pieces.groupBy("length").count().collect()}  # `capacity` rows at most
-    places = Places(pack_lengths(hist, capacity, nodes))
+    places = Places(pack_lengths(hist, capacity, nodes, steps))
     salts = max(16, min(1 << 16, sum(hist.values()) // salt_rows))
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id() % 4096), F.lit(salts)))
     by_salt = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -13,7 +13,6 @@ from corrweave.llm import packing as P
 
 def expected_pieces(rows, capacity):
     tok = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
-    tok.encode_special_tokens = True
     out = []
     for doc_id, text, *_ in rows:
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, P.END_ID]
@@ -112,6 +111,76 @@ def test_search_beats_best_fit():
     assert found
 
 
+def plain_fillings(lengths, room):
+    """By definition: of all subsets of single lengths, those that no remaining length can enter or replace a part of."""
+    found = [()]
+    for x in sorted(lengths, reverse=True):
+        found += [(*f, x) for f in found if sum(f) + x <= room]
+    out = set()
+    for f in found:
+        waste, rest = room - sum(f), [x for x in lengths if x not in f]
+        parts = {0}
+        for x in f:
+            parts |= {p + x for p in parts}
+        if not any(p <= x <= p + waste for x in rest for p in parts):
+            out.add(f)
+    return out
+
+
+@pytest.mark.parametrize(("lengths", "room"), [(range(1, 14), 20), (range(1, 60, 7), 100), ([2, 3, 5, 8, 9, 13, 21, 22], 30), ([50], 40), ([5, 6], 30)])
+def test_fillings_are_the_undominated_ones(lengths, room):
+    found = list(P.fillings(dict.fromkeys(lengths, 1), room))
+    got = {tuple(x for x, k in f for _ in range(k)) for f in found}
+    assert len(got) == len(found) and got == plain_fillings([x for x in lengths if x <= room], room)
+    waste = [room - sum(x * k for x, k in f) for f in found]
+    assert waste == sorted(waste)
+
+
+def test_fillings_of_many_lengths():
+    found = [tuple(x for x, k in f for _ in range(k)) for f in P.fillings(dict.fromkeys(range(1, 60), 1), 100)]
+    assert {(x, 100 - x) for x in range(51, 60)} <= set(found) and (40, 39, 21) in found and not any(sum(f) < 100 for f in found)
+    assert list(P.fillings({3: 10**9, 1: 10**9}, 4096)) == [((3, 1365), (1, 1))]
+    assert list(P.fillings({1: 10}, 4096)) == [((1, 10),)]
+    steps = P.Steps(50)
+    assert len(list(P.fillings(dict.fromkeys(range(1, 400), 1), 4096, steps=steps))) < 50 and steps.left < 0
+
+
+def test_triplets():
+    """Exact-fit triplets are best fit's worst case: the search closes all of the gap or all but one sequence."""
+    for seed in range(5):
+        rnd = random.Random(seed)
+        hist = Counter()
+        for _ in range(20):
+            a = rnd.randint(1556, 2007)
+            b = rnd.randint(1024, (4096 - a) // 2)
+            hist.update([a, b, 4096 - a - b])
+        plan = P.pack_lengths(hist)
+        check_plan(plan, hist, 4096)
+        assert P.n_sequences(plan) == 20 and P.n_sequences(P.best_fit(hist, 4096)) >= 23
+
+
+def test_query_keeps_special_tokens(spark, tmp_path):
+    rows = [*X.ROWS, (21, "hi <|endoftext|> there<|startoftext|>", "en", "a"), (22, "<|EndOfText|>", "en", "a"), (23, "Word " * 300_000, "en", "a"), *[(24, "same", "en", "a")] * 500, *[(None, "same", "en", "a")] * 500]
+    X.documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = P.op1_best_fit_packing(spark, str(tmp_path))
+    assert df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = df.collect()
+    assert X.same([tuple(r)[:5] for r in got], expected_pieces(rows, 4096))
+    n = check_places(got, 4096)
+    assert n == P.lower_bound(Counter(r["length"] for r in got), 4096)
+    ids = P.encoder(public_tokenizers.path(P.TOKENIZER)).encode("hi <|endoftext|> there").tolist()
+    assert ids == [1883, 49407, 997]
+
+
+def test_stores_are_bounded_by_bytes():
+    path = public_tokenizers.path(P.TOKENIZER)
+    tok, enc = Tokenizer.from_file(path), P.WordEncoder(path, most_bytes=2000)
+    for i in range(60):
+        text = f"{'x' * (i * 7 % 90)}{i} {'yz' * 40}{i}, plain words"
+        assert enc.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert enc.word_bytes < 3000 and enc.part_bytes < 3000
+
+
 def test_large_histograms_stay_cheap():
     rnd = random.Random(0)
     hist = Counter(min(4096, int(rnd.lognormvariate(6, 1.2)) + 1) for _ in range(20_000))
