@@ -45,6 +45,15 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Rows up to which a slim table (two numbers a row) is broadcast once it has been counted; beyond it a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A slim table that is cheap to count (a checkpoint), marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> tuple[int, int]:
     """Rows, and UTF-8 bytes of a column, by one aggregate over the whole table."""
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(col))), F.lit(0))).first()

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corrweave.operators.components import representatives
 from corrweave.session import cut
 
-from .common import fresh, table
+from .common import fresh, small, table
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -151,20 +151,6 @@ def components_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, one for each doc_id, all columns.
-
-    For tables whose doc_ids are unique and not null: of rows that share one it keeps one, whatever their texts.
-    `drop_near_copies` is right for any table.
-    """
-    (own,) = fresh(docs, "_cw_component")
-    first = components_of(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = cut(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", own))
-    kept = docs.join(keep.select(own), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi")
-    # Texts move once more only if some doc_id came twice.
-    return kept if keep.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
-
-
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of `docs`, all columns, for each `rep` of `groups` (doc_id, text_hash, rep; one entry for each row of `docs` at least).
 
@@ -172,14 +158,14 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     goes only for another one of its group.
     """
     k1, k2 = fresh(docs, "_cw_doc_id", "_cw_text_hash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
-    n_first = groups.groupBy("rep", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    kept = n_first.groupBy("rep").agg(first, F.max("n").alias("n")).select(F.col("f.doc_id").alias(k1), F.col("f.text_hash").alias(k2), "n")
-    kept = cut(kept)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = cut(groups.groupBy("rep", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.groupBy("rep").agg(F.min(key).alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("rep", "f")
+    gone = cut(rows.join(first, "rep").filter(key != F.col("f")).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2)))
     d1, d2 = docs["doc_id"].cast("long"), text_hash(docs)
-    left = docs.join(kept.select(k1, k2), d1.eqNullSafe(F.col(k1)) & (d2 == F.col(k2)), "left_semi")
+    left = docs.join(small(gone), d1.eqNullSafe(F.col(k1)) & (d2 == F.col(k2)), "left_anti")
     # Texts move once more only if some row came twice.
-    if kept.filter("n > 1").isEmpty():
+    if rows.filter("n > 1").isEmpty():
         return left
     return left.withColumns({k1: d1, k2: d2}).dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])
 

@@ -3,6 +3,7 @@ import fixtures as X
 import numpy as np
 import test_decontamination as TD
 import test_line_dedup as TL
+import test_near_copies as TN
 import test_packing as TP
 import test_quality_classifier as TQ
 import test_simhash as TS
@@ -39,12 +40,8 @@ def stages(rows, labels):
         out[r[0]] = "\n".join(kept)
     rows = [(r[0], out[r[0]], *r[2:]) for r in rows]
     yield rows
-    prints = {r[0]: TS.plain_print(r[1]) for r in rows}
-    root = TS.groups(set(prints.values()))
-    least = {}
-    for d, p in prints.items():
-        least[root[p]] = min(d, least.get(root[p], d))
-    rows = [r for r in rows if least[root[prints[r[0]]]] == r[0]]
+    kept = set(TN.survivors(rows))
+    rows = [r for r in rows if (r[0], r[1] or "") in kept]
     yield rows
     bad = {d for d, *_ in TD.brute(rows, BENCH)}
     yield [r for r in rows if r[0] not in bad]

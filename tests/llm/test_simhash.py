@@ -59,10 +59,27 @@ def test_components_and_stage(spark):
     got = S.components_of(docs)
     assert X.same([tuple(r) for r in got.collect()], expected)
     assert len(set(least.values())) < len({p for _, p in prints})  # some links aren't between equal prints
-    kept = S.drop_near_duplicates(docs)
+    kept = S.drop_near_copies(docs)
     assert kept.columns == docs.columns
+    best = {}
+    for d, text, *_ in rows:
+        best.setdefault(root[plain_print(text)], []).append((d is None, d or 0))
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {c for _, _, c in expected}
+    assert X.same([(d,) for d in ids], [(None if min(b)[0] else min(b)[1],) for b in best.values()])
+
+
+def test_query(spark, tmp_path):
+    rows = [*X.ROWS, *near_copies(30), (30, "a " * 600_000, "en", "a"), (31, "A " * 900_000, "en", "a")]
+    X.documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    df = S.op9_simhash(spark, str(tmp_path))
+    assert df.columns == ["doc_id", "fingerprint", "component_id"]
+    prints = [(r[0], plain_print(r[1])) for r in rows]
+    root = groups({p for _, p in prints})
+    least = {}
+    for d, p in prints:
+        if d is not None:
+            least[root[p]] = min(d, least.get(root[p], d))
+    assert X.same([tuple(r) for r in df.collect()], [(d, f"{p:016x}", least.get(root[p])) for d, p in prints])
 
 
 def test_stage_drops_a_row_only_for_one_of_its_component(spark):
