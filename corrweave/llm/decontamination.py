@@ -10,17 +10,19 @@ than k of its shingles, so it holds at least one of the signature: candidates
 are the documents with any hash of a signature, and none is lost. Candidates
 are then verified by the exact shingles.
 
-The hashes of a document are made and probed where it is scanned. Signatures
-are broadcast only if their counted rows stay within `BROADCAST_ROWS`;
-beyond it the join shuffles. Texts are read a second time for candidates only,
-against (doc_id, text hash) pairs, whose size AQE knows when it plans the join.
+The hashes of a document, of all lengths that items need, are made and probed
+in one scan. Candidate pairs are slim and checkpointed. Signatures and pairs
+are broadcast only if their counted rows stay within `BROADCAST_ROWS`; beyond
+it the joins shuffle. So texts are read a second time for candidates, where
+they lie, and don't move as long as candidates are few.
 
 Defined cases: A-Z count as a-z; an item of fewer than five words is one
 shingle of all its words, searched with that many words; an item without words
 (or null) is in no document; a null text holds nothing; repeated rows of
 documents or items give one pair; rows that share a doc_id are each searched,
 and the pair has the largest share; an empty table on either side gives no
-pairs; further columns are ignored, or kept by `drop_contaminated`.
+pairs; a very long text is hashed whole, as one array of 8 bytes a word;
+further columns are ignored, or kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -30,12 +32,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, fresh, table, words
+from .common import BROADCAST_ROWS, LOWER, UPPER, ascii_lower, cut, fresh, small, table, words
 
 SHINGLE = 5
 #: As a fraction, so that counts compare exactly.
 THRESHOLD = (4, 5)
-BROADCAST_ROWS = 1_000_000
 
 
 def _hashes(w: Column, s: int) -> Column:
@@ -76,13 +77,14 @@ def _keys(docs: DataFrame) -> list[Column]:
 
 def _candidates(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     """Distinct (doc_id, text hash, item_id) with a hash of the signature in common."""
-    signatures = items.select("item_id", "s", F.explode("signature").alias("h"))
+    signatures = items.select("item_id", F.explode("signature").alias("h"))
     if signatures.count() <= BROADCAST_ROWS:
         signatures = F.broadcast(signatures)
     d1, d2 = _keys(docs)
     w = docs.select(d1.alias("doc_id"), d2.alias("text_hash"), words(ascii_lower(docs["text"].cast("string"))).alias("w"))
-    found = [w.select("doc_id", "text_hash", F.lit(s).alias("s"), F.explode(_hashes(F.col("w"), s)).alias("h")).join(signatures, ["s", "h"]) for s in sizes]
-    return reduce(DataFrame.union, found).select("doc_id", "text_hash", "item_id").distinct()
+    every = [_hashes(F.col("w"), s) for s in sizes]  # a hash covers the shingle's length
+    hashed = w.select("doc_id", "text_hash", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("h"))
+    return hashed.join(signatures, "h").select("doc_id", "text_hash", "item_id").distinct()
 
 
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(int(r[0]) for r in items.select("s").distinct().collect())  # five values at most
     if not sizes:
         sizes = [SHINGLE]
-    pairs = _candidates(docs, items, sizes)
+    pairs = small(cut(_candidates(docs, items, sizes)))
     d1, d2 = _keys(docs)
     texts = docs.select(d1.alias("d1"), d2.alias("d2"), docs["text"].cast("string").alias("text"))
     marked = texts.join(pairs, F.col("d1").eqNullSafe(F.col("doc_id")) & (F.col("d2") == F.col("text_hash")))
@@ -114,9 +116,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text contains no item."""
     k1, k2 = fresh(docs, "_cw_d1", "_cw_d2")
-    bad = contained(docs, benchmark).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2)).distinct()
+    bad = cut(contained(docs, benchmark).select(F.col("doc_id").alias(k1), F.col("text_hash").alias(k2)).distinct())
     d1, d2 = _keys(docs)
-    return docs.join(bad, d1.eqNullSafe(F.col(k1)) & (d2 == F.col(k2)), "left_anti")
+    return docs.join(small(bad), d1.eqNullSafe(F.col(k1)) & (d2 == F.col(k2)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

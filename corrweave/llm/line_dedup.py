@@ -19,8 +19,9 @@ Defined cases: a null text is the empty text, one empty line; empty keys are
 never duplicates; rows with the same doc_id and text are one document, which
 counts once, and each such row is returned with the same result; rows with
 the same doc_id and different texts are different documents; a null doc_id
-sorts before all others; an empty table gives an empty result; input columns
-named like the results give way to them.
+sorts before all others; the lines of a very long text are rows like others
+and its bitmap has a bit for each; an empty table gives an empty result; input
+columns named like the results give way to them.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, ascii_lower, cut, fresh, table, text_bytes
+from .common import WHITE, ascii_lower, cut, fresh, table
 
 MIN_CHARS = 1
 MIN_DOCS = 10
 PARTITION_BYTES = 16 << 20
+#: Lines of a partition of hashes, about.
+PARTITION_LINES = 250_000
 
 _COLS = ("h1", "h2", "d1", "d2", "pos")
 
@@ -121,6 +124,7 @@ def dropped_lines(hashes: DataFrame, min_docs: int, keep: str, n_partitions: int
     """(d1, d2, pos) of the lines that go."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
+    hashes = cut(hashes)  # else lines would be split and hashed once more for a sample of the ranges
     in_order = cut(hashes.repartitionByRange(n_partitions, *_COLS).sortWithinPartitions(*_COLS))
     summary = ", ".join(f"c{i} bigint" for i in range(16))
     seams = join_runs([tuple(r) for r in in_order.mapInArrow(_summary, summary).collect()])
@@ -195,8 +199,10 @@ def keep_bitmaps(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "none", partition_bytes: int = PARTITION_BYTES
 ) -> DataFrame:
     """(d1, d2, keep_bitmap) for each document that loses a line; d1 and d2 as in `document_key`."""
-    _, size = text_bytes(docs)
-    gone = dropped_lines(line_hashes(docs, min_chars), min_docs, keep, max(8, -(-size // partition_bytes)))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    n_lines = F.coalesce(F.sum(F.octet_length(text) - F.octet_length(F.translate(text, "\n", "")) + 1), F.lit(0))
+    size, lines = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), n_lines).first()
+    gone = dropped_lines(line_hashes(docs, min_chars), min_docs, keep, max(8, -(-size // partition_bytes), -(-lines // PARTITION_LINES)))
     return gone.repartition("d1", "d2").sortWithinPartitions("d1", "d2", "pos").mapInArrow(_bitmaps, "d1 bigint, d2 bigint, keep_bitmap binary")
 
 

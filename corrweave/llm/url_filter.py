@@ -1,16 +1,19 @@
 """URL filters over a memory-mapped sorted digest array.
 
-All listed strings (rules as host + path prefix, and blocked hosts) become one
-file: 64-bit XXH64 keys in ascending order, the strings themselves, and an
-action for each. Executors get the file through Spark's own file distribution
+All listed strings (rules as host + path prefix, blocked hosts, and blocked
+words of hosts) become one file: 64-bit XXH64 keys in ascending order, the
+strings themselves, and an action for each. Executors get the file through Spark's own file distribution
 and memory-map it, so every Python worker of a machine shares one copy of its
 pages. A URL's candidate strings (its host and parent domains, alone and with
 the path cut to each length a listed string has) are probed together by one
 vectorised binary search; a key that matches counts only if the stored string
-is equal, so digest collisions change nothing.
+is equal, so digest collisions change nothing. Strings longer than the longest
+listed one are not candidates, so a host of very many labels costs no more than
+its length.
 
-The list is a parameter that the user owns, not something gathered from the
-corpus. Pages are judged where they are scanned: no shuffle, no skew.
+The lists are parameters that the user owns (also as tables of one column), not
+something gathered from the corpus; the words of `BLOCKED_WORDS` are a general
+default. Pages are judged where they are scanned: no shuffle, no skew.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path,
 fits no rule and is allowed; repeated rows are judged one by one; an empty
@@ -21,7 +24,10 @@ of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import LOWER, UPPER, shared_dir, table
 
 ALLOW, BLOCK, LISTED = 0, 1, 2
+#: Begins listed words; no host holds it.
+_WORD = "~"
 #: (host, path prefix, action); a rule holds for the host and all its subdomains, the longest wins.
 RULES = [
     ("org", "/", ALLOW),
@@ -41,26 +49,34 @@ RULES = [
     ("com", "/fr/", ALLOW),
     ("com", "/de/", BLOCK),
 ]
-#: Hosts (with their subdomains) that are blocked where no rule fits.
-BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("cheap-pills", "spam-farm") for top in ("com", "net", "org")]
+# Words between dots and hyphens of a host that have it blocked where no rule fits (adult, gambling, drugs, advertising and fraud).
+BLOCKED_WORDS = [
+    "ads", "adserver", "adult", "banner", "bet", "bets", "betting", "bingo", "cams", "casino", "casinos", "cialis", "clickbait", "doubleclick", "escort", "escorts", "gambling",
+    "hentai", "jackpot", "keygen", "lottery", "malware", "nude", "payday", "phishing", "pills", "poker", "popunder", "porn", "porno", "roulette", "sex", "slots", "spam", "viagra",
+    "warez", "webcams", "xxx",
+]
 
 _LOWER = str.maketrans(UPPER, LOWER)
+_PARTS = re.compile("[.-]")
 _MAGIC = b"CWDIGEST"
 _HEAD = 8 + 3 * 8
 
 
 def build(entries: Iterable[tuple[str, int]]) -> bytes:
     """The file for (string, action) entries; a string given twice keeps its first action."""
-    actions: dict[bytes, int] = {}
+    strings, actions = [], []
     for text, action in entries:
-        actions.setdefault(text.encode(), action)
-    strings = sorted(actions, key=lambda s: (xxhash.xxh64_intdigest(s), s))
-    keys = np.array([xxhash.xxh64_intdigest(s) for s in strings], dtype="<u8")
+        strings.append(text.encode())
+        actions.append(action)
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, strings), dtype="<u8", count=len(strings))
+    order = sorted(np.argsort(keys, kind="stable").tolist(), key=lambda i: (keys[i], strings[i]))  # nearly sorted: only collisions and repeats move
+    order = [i for k, i in enumerate(order) if not k or strings[i] != strings[order[k - 1]]]
+    strings = [strings[i] for i in order]
     ends = np.cumsum([0, *map(len, strings)], dtype="<u8")
-    lengths = sorted({len(s.decode().partition("/")[1] + s.decode().partition("/")[2]) for s in strings})
-    body = keys.tobytes() + ends.tobytes() + np.array(lengths, dtype="<u8").tobytes()
-    body += bytes(actions[s] for s in strings) + b"".join(strings)
-    return _MAGIC + struct.pack("<3Q", len(strings), len(lengths), len(body)) + body
+    lengths = sorted({len(s) - len(s.partition(b"/")[0]) if s.isascii() else len(s.decode()) - len(s.decode().partition("/")[0]) for s in strings})
+    body = keys[order].tobytes() + ends.tobytes() + np.array(lengths, dtype="<u8").tobytes()
+    body += bytes(actions[i] for i in order) + b"".join(strings)
+    return _MAGIC + struct.pack("<3Q", len(strings), len(lengths), max(map(len, strings), default=0)) + body
 
 
 class DigestArray:
@@ -70,7 +86,7 @@ class DigestArray:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         if bytes(raw[:8]) != _MAGIC:
             raise ValueError(f"{path} is not a digest array")
-        n, m, _ = struct.unpack("<3Q", bytes(raw[8:_HEAD]))
+        n, m, self.longest = struct.unpack("<3Q", bytes(raw[8:_HEAD]))
         at = _HEAD
         self.keys = raw[at : (at := at + 8 * n)].view("<u8")
         self.ends = raw[at : (at := at + 8 * (n + 1))].view("<u8")
@@ -101,9 +117,13 @@ def publish(spark: SparkSession, payload: bytes) -> str:
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corrweave/{name}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        out = fs.create(path, True)
+        # Under another name first, so that a driver that dies while writing leaves no broken file under this one.
+        part = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corrweave/{name}.{uuid.uuid4().hex}")
+        out = fs.create(part, True)
         out.write(payload)
         out.close()
+        if not fs.rename(part, path) and not fs.exists(path):
+            raise OSError(f"can't write {path}")
     sc.addFile(fs.makeQualified(path).toString())
     return name
 
@@ -126,11 +146,16 @@ def judge(index: DigestArray, urls: list[str | None]) -> list[tuple[str, str, st
     asked: list[list[int]] = []
     for host, path in split:
         mine = []
-        while host:
+        at = len(host) + 1
+        while at > 0 and len(host) - at < index.longest:  # domains from the shortest on; longer ones can't be listed
+            at = host.rfind(".", 0, at - 1) + 1 if at > 1 else 0
+            domain = host[at:]
             for n in index.path_lengths:
-                if n <= len(path):
-                    mine.append(probes.setdefault(host + path[:n], len(probes)))
-            host = host.partition(".")[2]
+                if domain and n <= len(path) and len(domain) + n <= index.longest:
+                    mine.append(probes.setdefault(domain + path[:n], len(probes)))
+        for word in dict.fromkeys(_PARTS.split(host)):
+            if len(word) < index.longest:
+                mine.append(probes.setdefault(_WORD + word, len(probes)))
         asked.append(mine)
     strings = list(probes)
     found = index.find([s.encode(errors="surrogatepass") for s in strings])
@@ -145,14 +170,26 @@ def judge(index: DigestArray, urls: list[str | None]) -> list[tuple[str, str, st
     return out
 
 
+def _strings(listed: Iterable[str] | DataFrame) -> Iterable[str]:
+    """The strings of a list, or of a table's first column (the user's list, which becomes one file), without nulls, A-Z lower-cased."""
+    if isinstance(listed, DataFrame):
+        listed = (r[0] for r in listed.select(listed[listed.columns[0]]).dropna().distinct().toLocalIterator())
+    return (s.translate(_LOWER) for s in listed)
+
+
 def filter_urls(
     pages: DataFrame,
     rules: Iterable[tuple[str, str, int]] = tuple(RULES),
-    blocked_hosts: Iterable[str] = tuple(BLOCKED_HOSTS),
+    blocked_hosts: Iterable[str] | DataFrame = (),
+    blocked_words: Iterable[str] | DataFrame = tuple(BLOCKED_WORDS),
 ) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of `pages`."""
-    entries = [(host + path, action) for host, path, action in rules]
-    name = publish(pages.sparkSession, build([*entries, *((h, LISTED) for h in blocked_hosts)]))
+    entries = itertools.chain(
+        ((host + path, action) for host, path, action in rules),
+        ((h, LISTED) for h in _strings(blocked_hosts)),
+        ((_WORD + w, LISTED) for w in _strings(blocked_words)),
+    )
+    name = publish(pages.sparkSession, build(entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray(SparkFiles.get(name))
@@ -182,9 +219,9 @@ WITH u AS (
          arg_max(verdict, length(rule_host || rule_path)) AS verdict
   FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id
-), blocked(name) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)})
+)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE host = name OR ends_with(host, '.' || name))
+       coalesce(verdict, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), [{", ".join(f"'{w}'" for w in BLOCKED_WORDS)}])
                               THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN hit USING (page_id)
 """

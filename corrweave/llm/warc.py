@@ -4,8 +4,8 @@ Every response gives two records that point to it by `WARC-Refers-To`: a
 `metadata` record (JSON: the source record's own WARC headers, its HTTP status
 and headers, title and links) and a `conversion` record (its text). Both keep
 the source's target URI and date, and name the source's payload digest beside
-the digest of their own block. Record ids follow from what they name, so a task
-that runs again gives the same records.
+the digest of their own block. Record ids follow from what they name (page_id,
+url and payload digest), so a task that runs again gives the same records.
 
 `write_warc` and `read_warc` go through Spark's text source with WARC's record
 ends as line separators: any store, splittable, no file held as a whole.
@@ -13,8 +13,12 @@ ends as line separators: any store, splittable, no file held as a whole.
 Each page is handled where it is scanned: no shuffle, no skew.
 
 Defined cases: a null URL or page is an empty one; a page without text has a
-conversion record with an empty block; repeated rows give the same records
-again; an empty table gives no records; further columns are ignored.
+conversion record with an empty block; rows equal in page_id, url and page
+name the same response and give the same records again, and any others have
+ids of their own, also where page_id or url are null or repeated; repeated
+header fields are all kept, in order; a page of any length or form takes time
+in proportion to its length; an empty table gives no records; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +42,17 @@ VERSION = "WARC/1.0"
 CAPTURE_DATE = "1970-01-01T00:00:00Z"
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of URLs
 
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_BREAKS = re.compile(
-    r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>",
-    re.I,
+_UNSEEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_ENDS = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "title")} | {"": re.compile("-->")}
+#: Elements that begin a line.
+_BLOCKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
 )
-_TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TAG = re.compile(r"<(?:/?([a-z][a-z0-9]*)|[/!?])[^>]*>", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*>", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_BARE = re.compile(r"""[^\s>"']+""")
 _SPACE = re.compile("[ \\t\\r\\f\\v\\xa0]+")
 
 RESPONSE_SCHEMA = "page_id long, record_id string, target_uri string, warc_date string, http_head string, payload string"
@@ -63,23 +70,75 @@ def record_id(*names: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, '|'.join(map(str, names)))}>"
 
 
-def plain_text(html: str) -> str:
-    """Visible text: a line for each block element, entities resolved, runs of blanks joined."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _UNSEEN.sub(" ", html)))
+def without_unseen(html: str) -> str:
+    """A page with a blank for each comment and script. What isn't closed stays, and is looked for once only, so the time is linear."""
+    out, at, open_ended = [], 0, set()
+    while m := _UNSEEN.search(html, at):
+        kind = (m.group(1) or "").lower()
+        end = None if kind in open_ended else _ENDS[kind].search(html, m.end())
+        out.append(html[at : m.start()])
+        if end:
+            out.append(" ")
+            at = end.end()
+        else:
+            open_ended.add(kind)
+            out.append(m.group())
+            at = m.end()
+    return "".join([*out, html[at:]])
+
+
+def _closed(html: str) -> int:
+    """The end of the last tag: beyond it "<" opens none, so every search for a tag's end before it succeeds."""
+    return html.rfind(">") + 1
+
+
+def text_of(seen: str) -> str:
+    """The text of a page without comments and scripts."""
+    end = _closed(seen)
+    text = _TAG.sub(lambda m: "\n" if (m.group(1) or "").lower() in _BLOCKS else "", seen[:end]) + seen[end:]
     lines = (_SPACE.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def _fields(head: str) -> dict[str, str]:
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head.split("\r\n")) if v}
+def plain_text(html: str) -> str:
+    """Visible text: a line for each block element, entities resolved, runs of blanks joined."""
+    return text_of(without_unseen(html))
+
+
+def title_of(html: str) -> str:
+    m = _TITLE.search(html)
+    begin = html.find(">", m.end()) + 1 if m else 0
+    end = _ENDS["title"].search(html, begin) if begin else None
+    return plain_text(html[begin : end.start()]) if end else ""
+
+
+def links_of(seen: str) -> list[str]:
+    """The targets of a page's links, in order."""
+    out = []
+    for tag in _ANCHOR.finditer(seen[: _closed(seen)]):
+        m = _HREF.search(seen, tag.start(), tag.end())
+        if not m:
+            continue
+        quote = seen[m.end() : m.end() + 1]
+        if quote in ("'", '"') and quote:
+            end = seen.find(quote, m.end() + 1)
+            if end >= 0:
+                out.append(entities.unescape(seen[m.end() + 1 : end]))
+        elif bare := _BARE.match(seen, m.end()):
+            out.append(entities.unescape(bare.group()))
+    return out
+
+
+def _fields(head: str) -> list[list[str]]:
+    """Header fields in their order, names and values; repeated ones each."""
+    return [[k.strip(), v.strip()] for k, colon, v in (x.partition(":") for x in head.split("\r\n")) if colon]
 
 
 def describe(source: dict) -> str:
     """The block of a metadata record."""
     status, _, head = source["http_head"].partition("\r\n")
     html = source["payload"]
-    title = _TITLE.search(html)
-    links = [entities.unescape(next(filter(None, m.groups()), "")) for m in _LINK.finditer(_UNSEEN.sub(" ", html))]
+    seen = without_unseen(html)
     envelope = {
         "WARC-Header": {
             "WARC-Type": "response",
@@ -89,7 +148,7 @@ def describe(source: dict) -> str:
             "WARC-Payload-Digest": digest(html.encode(errors="replace")),
         },
         "HTTP-Response": {"Status": status, "Headers": _fields(head), "Entity-Length": len(html.encode(errors="replace"))},
-        "HTML": {"Title": plain_text(title.group(1)) if title else "", "Links": links},
+        "HTML": {"Title": title_of(html), "Links": links_of(seen)},
     }
     return json.dumps({"Envelope": envelope}, ensure_ascii=False, separators=(",", ":"))
 
@@ -103,7 +162,8 @@ def responses(pages: DataFrame, warc_date: str = CAPTURE_DATE) -> DataFrame:
             for page_id, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 html = html or ""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode(errors='replace'))}"
-                rows.append((page_id, record_id("response", page_id, url or ""), url or "", warc_date, head, html))
+                name = record_id("response", page_id, url or "", digest(html.encode(errors="replace")))
+                rows.append((page_id, name, url or "", warc_date, head, html))
             yield _batch(rows, ["page_id", "record_id", "target_uri", "warc_date", "http_head", "payload"])
 
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))

@@ -1,14 +1,20 @@
+import time
+
 import pytest
 
 from corrweave.llm import url_filter as U
 
 URLS = [
     "http://Example.ORG/es/1", "https://a.example.org/en/12?x", "https://a.example.org/en/2#f", "http://x.com/fr/", "http://x.com/de/1", "http://x.com/en/", None, "", "no scheme/org/",
-    "http://org/", "http://notorg.net/", "http://spam-farm.example.net", "http://m.spam-farm.example.net/a", "http://nospam-farm.example.net/a", "http://example.org", "http://example.org?/es/",
-    "ftp://ÉX.com/fr/é", "http://a://b.org/x", "http://spam-farm.example.org/fr/",
+    "http://org/", "http://notorg.net/", "http://farm.example.net", "http://m.farm.example.net/a", "http://nofarm.example.net/a", "http://example.org", "http://example.org?/es/",
+    "http://m.casino-win.example.com/x", "http://casinowin.com", "http://poker", "http://a.-.b/", "http://.", "http://POKER.casino-x.org/fr/",
+    "ftp://ÉX.com/fr/é", "http://a://b.org/x", "http://farm.example.org/fr/",
 ]
 
 
+HOSTS = [f"farm.example.{top}" for top in ("com", "net", "org")]
+
+
 def brute(url):
     host, path = "", ""
     if url and "://" in url:
@@ -21,7 +27,7 @@ def brute(url):
     if fits:
         rule, action = max(fits, key=lambda x: len(x[0]))
         return host, path, rule, "allow" if action == U.ALLOW else "block"
-    listed = any(host == h or host.endswith("." + h) for h in U.BLOCKED_HOSTS)
+    listed = any(host == h or host.endswith("." + h) for h in HOSTS) or bool(set(host.replace("-", ".").split(".")) & set(U.BLOCKED_WORDS))
     return host, path, None, "block" if listed else "allow"
 
 
@@ -30,10 +36,30 @@ def pages(spark, urls):
 
 
 def test_verdicts(spark):
-    got = {r["page_id"]: tuple(r)[1:] for r in U.filter_urls(pages(spark, URLS)).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in U.filter_urls(pages(spark, URLS), blocked_hosts=HOSTS).collect()}
     assert got == {i: brute(u) for i, u in enumerate(URLS)}
     assert U.filter_urls(pages(spark, [])).count() == 0
-    assert {r["verdict"] for r in U.filter_urls(pages(spark, URLS), rules=(), blocked_hosts=()).collect()} == {"allow"}
+    assert {r["verdict"] for r in U.filter_urls(pages(spark, URLS), rules=(), blocked_words=()).collect()} == {"allow"}
+
+
+def test_query_and_lists_from_tables(spark, tmp_path):
+    pages(spark, URLS).drop("host", "verdict").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in U.op8_url_filter(spark, str(tmp_path)).collect()}
+    plain = {i: brute(u) for i, u in enumerate(URLS)}
+    assert {i: g for i, g in got.items() if "farm" not in g[0]} == {i: (p[0], p[3]) for i, p in plain.items() if "farm" not in p[0]}
+    listed = spark.createDataFrame([(f"host{i}.com",) for i in range(20_000)] + [(None,), ("FARM.example.com",)], "host string")
+    rows = U.filter_urls(pages(spark, ["http://a.host19999.com/x", "http://host20000.com/x", "http://farm.example.com"]), blocked_hosts=listed).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["block", "allow", "block"]
+
+
+def test_very_long_urls(tmp_path):
+    path = tmp_path / "index.bin"
+    path.write_bytes(U.build([("example.org/es/", U.BLOCK), ("~poker", U.LISTED)]))
+    index = U.DigestArray(str(path))
+    urls = ["http://" + "a." * 500_000 + "example.org/es/" + "x" * 1_000_000, "http://" + "b-" * 500_000 + "poker", "http://" + "." * 1_000_000, "x" * 1_000_000]
+    began = time.perf_counter()
+    assert [v for *_, v in U.judge(index, urls)] == ["block", "block", "allow", "allow"]
+    assert time.perf_counter() - began < 4
 
 
 @pytest.fixture

@@ -1,4 +1,8 @@
+import base64
+import hashlib
 import json
+import time
+import uuid
 
 from corrweave.llm import warc as W
 
@@ -24,7 +28,7 @@ def test_linked_records(spark):
     doc = json.loads(one["metadata"]["block"])["Envelope"]
     assert doc["HTML"] == {"Title": "A & B", "Links": ["/l?a=1&b", "q"]}
     source = doc["WARC-Header"]
-    assert source["WARC-Target-URI"] == "http://a.org/x" and doc["HTTP-Response"]["Headers"]["Content-Type"].startswith("text/html")
+    assert source["WARC-Target-URI"] == "http://a.org/x" and doc["HTTP-Response"]["Headers"][0] == ["Content-Type", "text/html; charset=utf-8"]
     for r in rows:
         assert r["block_digest"] == W.digest(r["block"].encode()) and r["content_length"] == len(r["block"].encode())
         assert r["record_id"] != r["refers_to"] and r["refers_to"].startswith("<urn:uuid:")
@@ -43,3 +47,56 @@ def test_round_trip(spark, tmp_path):
         got = W.read_warc(spark, path).collect()
         assert sorted((r["headers"]["WARC-Record-ID"], r["headers"]["WARC-Refers-To"], r["headers"]["WARC-Block-Digest"], r["block"]) for r in got) == expected
         assert all(W.digest(r["block"].encode()) == r["headers"]["WARC-Block-Digest"] for r in got)
+
+
+HTML = [
+    "<p>a<b>b</b> c<div class='x>'>d</div>", "<!-- open <p>x", "<script>a<p>", "<SCRIPT>a</Script >b", "x < y <p>z", "<a href='1'>q</a><A\nHREF=\"2>3\">r</a><a hrefx=4><a href=>", "<title>T &lt; U</title><title>V</title>",
+    "<style>s</style><template>t</template>u<noscript>v</noscript>", "", "<>", "a<br/>b<hr>c", "&amp;nbsp;&#65;", "<h1>x</h1><h7>y</h7>",
+]
+TEXTS = ["ab c\n'>d", "x", "a", "b", "x < y\nz", 'q3">r', "T < U\nV", "u", "", "<>", "a\nb\nc", "&nbsp;A", "x\ny"]
+
+
+def test_plain_text_by_hand():
+    assert [W.plain_text(h) for h in HTML] == TEXTS
+    assert W.links_of(HTML[5]) == ["1", "2>3"] and W.title_of(HTML[6]) == "T < U" and W.title_of("<title>x") == W.title_of("<title") == ""
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<script>", "<!--", "<title>", "<title ", "<a ", "<a href=\"", "<p ", "<", "</script ", "<a href='x", "<a>", "&", "<style", " ", "href = ", "<a " + "href " * 9):
+        for tail in ("", ">", "-->"):
+            began = time.perf_counter()
+            W.describe({"http_head": "", "record_id": "", "target_uri": "", "warc_date": "", "payload": unit * (5_000_000 // len(unit)) + tail})
+            assert time.perf_counter() - began < 15, unit
+
+
+def test_ids_tell_different_pages_apart(spark):
+    pages = [(1, "u", "<p>a"), (1, "u", "<p>b"), (None, None, "<p>a"), (None, None, "<p>b"), (None, "u", "<p>a"), (1, None, "<p>a")]
+    rows = records(spark, pages).collect()
+    assert len({r["record_id"] for r in rows}) == 12 and len({r["refers_to"] for r in rows}) == 6
+
+
+def test_against_brute_force(spark):
+    """Every record of the query stated plainly, page by page."""
+    pages = [(i, f"http://h{i % 5}.org/{i}", h) for i, h in enumerate(HTML)]
+    got = {(r["page_id"], r["warc_type"]): r for r in records(spark, pages).collect()}
+    for (i, url, h), text in zip(pages, TEXTS, strict=True):
+        source = "sha1:" + base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        response = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response|{i}|{url}|{source}')}>"
+        for kind in ("metadata", "conversion"):
+            r = got[i, kind]
+            assert (r["refers_to"], r["target_uri"], r["source_digest"]) == (response, url, source)
+            assert r["record_id"] == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}|{response}')}>"
+        assert got[i, "conversion"]["block"] == text
+        doc = json.loads(got[i, "metadata"]["block"])["Envelope"]
+        assert doc["WARC-Header"] == {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": url, "WARC-Date": W.CAPTURE_DATE, "WARC-Payload-Digest": source}
+        assert doc["HTTP-Response"] == {"Status": "HTTP/1.1 200 OK", "Headers": [["Content-Type", "text/html; charset=utf-8"], ["Content-Length", str(len(h))]], "Entity-Length": len(h)}
+
+
+def test_query_and_repeated_headers(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert W.op7_warc_derivatives(spark, str(tmp_path)).count() == 2 * len(PAGES)
+    head = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nEmpty:\r\nSet-Cookie: a=1"
+    found = spark.createDataFrame([(1, "<urn:uuid:1>", "u", "d", head, "<p>x")], W.RESPONSE_SCHEMA)
+    W.write_warc(W.derive(found), str(tmp_path / "out"))
+    blocks = [r["block"] for r in W.read_warc(spark, str(tmp_path / "out")).collect() if r["headers"]["WARC-Type"] == "metadata"]
+    assert json.loads(blocks[0])["Envelope"]["HTTP-Response"]["Headers"] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"], ["Empty", ""], ["Set-Cookie", "a=1"]]
