@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrweave.session import cut
+from corrweave.session import Scratch, cut
 
 
 def representatives(edges: DataFrame) -> DataFrame:
@@ -15,9 +15,10 @@ def representatives(edges: DataFrame) -> DataFrame:
     rank and replaces the edges by those between the targets, so a constant
     share of the nodes goes each round, for paths and hubs alike. All of it
     are aggregates with partial sums and joins that AQE can split; only whether
-    edges are left comes to the driver.
+    edges are left comes to the driver. The result is a checkpoint.
     """
-    edges = cut(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    edges = scratch.keep(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     seed = 0
     while not edges.isEmpty():
@@ -25,24 +26,24 @@ def representatives(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("rank"), F.col(c).alias("to"))
         best = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("n"))
-        target = cut(best.select("node", F.least(rank("node"), F.col("n"))["to"].alias("to")))
+        target = scratch.keep(best.select("node", F.least(rank("node"), F.col("n"))["to"].alias("to")))
         maps.append(target)
         left = target.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = target.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a").join(right, "b").filter(F.col("ta") != F.col("tb"))
-        edges = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("rep"))
-    out = maps[0].select("node", F.col("to").alias("rep"))
+        edges = scratch.keep(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    out = maps[0].select("node", F.col("to").alias("rep")) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("rep"))
     for later in maps[1:]:
         step = later.select(F.col("node").alias("rep"), "to")
         out = out.join(step, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
+    out = cut(out)
+    scratch.clear()
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the component is its smallest node."""
-    found = cut(representatives(edges))
+    found = representatives(edges)
     least = found.groupBy("rep").agg(F.min("node").alias("component"))
     return found.join(least, "rep").select("node", "component")
 
