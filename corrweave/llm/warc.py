@@ -45,10 +45,11 @@ _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace
 _UNSEEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
 _ENDS = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "title")} | {"": re.compile("-->")}
 #: Elements that begin a line.
-_BLOCKS = frozenset(
+_BLOCKS = (
     "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
 )
-_TAG = re.compile(r"<(?:/?([a-z][a-z0-9]*)|[/!?])[^>]*>", re.I)
+_BREAK = re.compile(rf"</?(?:{'|'.join(_BLOCKS)})\b[^>]*>", re.I)
+_TAG = re.compile(r"<[a-z/!?][^>]*>", re.I)
 _TITLE = re.compile(r"<title\b", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*", re.I)
@@ -94,8 +95,10 @@ def _closed(html: str) -> int:
 
 def text_of(seen: str) -> str:
     """The text of a page without comments and scripts."""
-    end = _closed(seen)
-    text = _TAG.sub(lambda m: "\n" if (m.group(1) or "").lower() in _BLOCKS else "", seen[:end]) + seen[end:]
+    text = seen
+    for tag, to in ((_BREAK, "\n"), (_TAG, "")):
+        end = _closed(text)
+        text = tag.sub(to, text[:end]) + text[end:]
     lines = (_SPACE.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -134,11 +137,11 @@ def _fields(head: str) -> list[list[str]]:
     return [[k.strip(), v.strip()] for k, colon, v in (x.partition(":") for x in head.split("\r\n")) if colon]
 
 
-def describe(source: dict) -> str:
-    """The block of a metadata record."""
+def describe(source: dict, seen: str | None = None) -> str:
+    """The block of a metadata record; seen: the page without comments and scripts, if that is known."""
     status, _, head = source["http_head"].partition("\r\n")
     html = source["payload"]
-    seen = without_unseen(html)
+    seen = without_unseen(html) if seen is None else seen
     envelope = {
         "WARC-Header": {
             "WARC-Type": "response",
@@ -185,11 +188,11 @@ def derive(found: DataFrame) -> DataFrame:
             rows = []
             for source in b.to_pylist():
                 source = {k: ("" if v is None and k != "page_id" else v) for k, v in source.items()}
-                of = source["record_id"]
+                of, seen = source["record_id"], without_unseen(source["payload"])
                 source_digest = digest(source["payload"].encode(errors="replace"))
                 for kind, content_type, block in (
-                    ("metadata", "application/json", describe(source)),
-                    ("conversion", "text/plain; charset=utf-8", plain_text(source["payload"])),
+                    ("metadata", "application/json", describe(source, seen)),
+                    ("conversion", "text/plain; charset=utf-8", text_of(seen)),
                 ):
                     data = block.encode(errors="replace")
                     own = record_id(kind, of)

@@ -53,7 +53,7 @@ HTML = [
     "<p>a<b>b</b> c<div class='x>'>d</div>", "<!-- open <p>x", "<script>a<p>", "<SCRIPT>a</Script >b", "x < y <p>z", "<a href='1'>q</a><A\nHREF=\"2>3\">r</a><a hrefx=4><a href=>", "<title>T &lt; U</title><title>V</title>",
     "<style>s</style><template>t</template>u<noscript>v</noscript>", "", "<>", "a<br/>b<hr>c", "&amp;nbsp;&#65;", "<h1>x</h1><h7>y</h7>",
 ]
-TEXTS = ["ab c\n'>d", "x", "a", "b", "x < y\nz", 'q3">r', "T < U\nV", "u", "", "<>", "a\nb\nc", "&nbsp;A", "x\ny"]
+TEXTS = ["ab c\n'>d", "<!-- open\nx", "a", "b", "x < y\nz", 'q3">r', "T < U\nV", "u", "", "<>", "a\nb\nc", "&nbsp;A", "x\ny"]
 
 
 def test_plain_text_by_hand():
