@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corrweave.session import Scratch, cut
 
+#: Edges of a task, at least: rounds over few edges take few tasks, however many partitions shuffles have.
+TASK_ROWS = 250_000
+
 
 def representatives(edges: DataFrame) -> DataFrame:
     """(node, rep) for every node of `edges` (columns a and b, long): nodes of one component share `rep`.
@@ -21,17 +24,18 @@ def representatives(edges: DataFrame) -> DataFrame:
     edges = scratch.keep(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     seed = 0
-    while not edges.isEmpty():
+    while count := edges.count():  # from the footers of a written table
+        parts = -(-2 * count // TASK_ROWS)
         seed += 1
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("rank"), F.col(c).alias("to"))
         best = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("n"))
-        target = scratch.keep(best.select("node", F.least(rank("node"), F.col("n"))["to"].alias("to")))
+        target = scratch.keep(best.select("node", F.least(rank("node"), F.col("n"))["to"].alias("to")), parts)
         maps.append(target)
         left = target.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = target.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a").join(right, "b").filter(F.col("ta") != F.col("tb"))
-        edges = scratch.keep(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        edges = scratch.keep(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), parts)
     out = maps[0].select("node", F.col("to").alias("rep")) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("rep"))
     for later in maps[1:]:
         step = later.select(F.col("node").alias("rep"), "to")

@@ -41,9 +41,10 @@ class Scratch:
         self.spark, self.n = spark, 0
         self.path = f"{shared_dir(spark)}/corrweave/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """The rows of `df` as a table; at most `parts` tasks write it, if that is given."""
         self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
+        (df.coalesce(parts) if parts else df).write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
     def clear(self) -> None:
