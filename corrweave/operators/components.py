@@ -11,7 +11,7 @@ from corrweave.session import Scratch, cut
 TASK_ROWS = 250_000
 
 
-def representatives(edges: DataFrame) -> DataFrame:
+def representatives(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, rep) for every node of `edges` (columns a and b, long): nodes of one component share `rep`.
 
     Each round sends every node to the neighbour (or itself) of least random
@@ -19,9 +19,10 @@ def representatives(edges: DataFrame) -> DataFrame:
     share of the nodes goes each round, for paths and hubs alike. All of it
     are aggregates with partial sums and joins that AQE can split; only whether
     edges are left comes to the driver. The result is a checkpoint.
+    `rows`, where it is known, is the number of edges, so that few of them take few tasks from the start.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    edges = scratch.keep(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = scratch.keep(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows and -(-rows // TASK_ROWS))
     maps: list[DataFrame] = []
     seed = 0
     while count := edges.count():  # from the footers of a written table
