@@ -29,6 +29,7 @@ empty table gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import re
 import unicodedata
@@ -50,6 +51,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Nodes of the search, and steps of all its enumerations.
 NODES, STEPS = 1_000, 300_000
+#: Nodes that keep their tables.
+LIVE = 32
 #: Rows for each rank window, about.
 SALT_ROWS = 200_000
 
@@ -395,14 +398,21 @@ def pack_lengths(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NO
         rest = counts | {top: counts[top] - 1}
         return ((top, chosen) for chosen in fillings(rest, capacity - top, spare(waste), budget))
 
-    # A depth-first search with its own stack of (counts, plan so far, sequences so far, waste so far, fillings to try).
-    stack = [(hist, (), 0, 0, options(hist, 0))] if hist and n_sequences(best) > bound else []
+    # A depth-first search with its own stack of [counts, plan so far, sequences so far, waste so far, fillings to try, how many were tried].
+    # Only the deepest `LIVE` nodes hold counts and fillings (whose tables take a megabyte or so); the others build them again on return.
+    stack: list[list] = [[hist, (), 0, 0, options(hist, 0), 0]] if hist and n_sequences(best) > bound else []
     seen = 0
     while stack and seen < nodes and n_sequences(best) > bound:
-        counts, plan, used, waste, todo = stack[-1]
+        counts, plan, used, waste, todo, tried = node = stack[-1]
+        if todo is None:
+            node[4] = todo = itertools.islice(options(counts, waste), tried, None)
         top, chosen = next(todo, (0, ()))
+        node[5] += 1
         if not top or spare(waste) < 0:
             stack.pop()
+            if stack and stack[-1][0] is None:
+                filling, times, _ = plan
+                stack[-1][0] = counts | {x: counts.get(x, 0) + k * times for x, k in filling}
             continue
         need = dict(chosen)
         need[top] = need.get(top, 0) + 1
@@ -417,7 +427,9 @@ def pack_lengths(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NO
             if used < n_sequences(best):
                 best = _merge(plan)
             continue
-        stack.append((counts, plan, used, lost, options(counts, lost)))
+        stack.append([counts, plan, used, lost, options(counts, lost), 0])
+        if len(stack) > LIVE:
+            stack[-LIVE - 1][0] = stack[-LIVE - 1][4] = None
         # A dive over many lengths is too deep for the bound on nodes, so best fit completes it at some depths.
         if len(stack) & (len(stack) - 1) == 0:
             tail = best_fit(counts, capacity)
