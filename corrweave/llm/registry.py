@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fill_in_middle, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
+from . import decontamination, fill_in_middle, language_id, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op12_language_id": language_id.op12_language_id,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
