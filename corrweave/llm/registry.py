@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fill_in_middle, language_id, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
+from . import decontamination, divergence_audit, fill_in_middle, language_id, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_divergence_audit": divergence_audit.op11_divergence_audit,
         "op12_language_id": language_id.op12_language_id,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op5_decontamination": decontamination.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
+        "op11_divergence_audit": divergence_audit.ORACLE_SQL,
         "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
