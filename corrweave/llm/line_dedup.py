@@ -6,9 +6,10 @@ share is cut over many partitions by document instead of landing in one. A
 pass over each sorted partition counts the documents of each run of one hash;
 only what a partition's first and last run hold goes to the driver (a few
 numbers for each partition), which joins the runs that cross a boundary. A
-second pass streams the same partitions (a reliable checkpoint keeps them and
-their order) and emits the positions that go. These are folded to one
-compressed keep bitmap for each document; a text meets its bitmap in one join.
+second pass over the same partitions (a reliable checkpoint keeps them and
+their order) emits the positions that go. A pass holds one partition's hashes,
+about `PARTITION_LINES`. The positions are folded to one compressed keep bitmap
+for each document; a text meets its bitmap in one join.
 
 A line's key is the line with white space stripped at both ends and A-Z
 lower-cased. Keys of at least `min_chars` code points in at least `min_docs`
@@ -58,10 +59,12 @@ def document_key(docs: DataFrame) -> list:
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """A row for each line whose key is long enough."""
     d1, d2 = document_key(docs)
-    lines = docs.select(d1.alias("d1"), d2.alias("d2"), F.posexplode(F.split(ascii_lower(docs["text"].cast("string")), "\n")).alias("pos", "line"))
+    # The keys are columns before the lines are made: expressions beside the explode would be evaluated for each line.
+    keyed = docs.select(d1.alias("d1"), d2.alias("d2"), ascii_lower(docs["text"].cast("string")).alias("text"))
+    lines = keyed.select("d1", "d2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.btrim(F.col("line"), F.lit(WHITE))
-    keyed = lines.select("d1", "d2", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "d1", "d2", "pos")
+    long = lines.select("d1", "d2", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars)
+    return long.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "d1", "d2", "pos")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
@@ -124,7 +127,9 @@ def dropped_lines(hashes: DataFrame, min_docs: int, keep: str, n_partitions: int
     """(d1, d2, pos) of the lines that go."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    hashes = cut(hashes)  # else lines would be split and hashed once more for a sample of the ranges
+    # Lines of repeated rows are combined where they are read, so that range keys are all different.
+    # Without the cut, lines would be split and hashed once more for a sample of the ranges.
+    hashes = cut(hashes.distinct())
     in_order = cut(hashes.repartitionByRange(n_partitions, *_COLS).sortWithinPartitions(*_COLS))
     summary = ", ".join(f"c{i} bigint" for i in range(16))
     seams = join_runs([tuple(r) for r in in_order.mapInArrow(_summary, summary).collect()])
@@ -140,10 +145,7 @@ def dropped_lines(hashes: DataFrame, min_docs: int, keep: str, n_partitions: int
         n_docs[0] = first_total
         drop = np.repeat(n_docs >= min_docs, np.diff([*starts, len(cols[0])]))
         if keep == "first":
-            # A repeated row has its lines here more than once; equal range keys never part, so all of them lie in this partition.
-            new_row = np.concatenate([[True], np.any([np.diff(c) != 0 for c in cols], axis=0)])
-            row = np.cumsum(new_row)
-            drop[np.isin(row, row[starts[1 if began_before else 0 :]])] = False
+            drop[starts[1 if began_before else 0 :]] = False
         at = np.flatnonzero(drop)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]

@@ -103,3 +103,23 @@ def test_query_digest(spark, tmp_path):
     assert len(rows) == len(X.ROWS)
     digests = {r["doc_id"]: r["kept_sha256"] for r in rows}
     assert digests[4] == digests[5] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_million_lines_take_seconds(spark):
+    import time
+
+    text = "\n".join(f"line {i % 600_000}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = D.drop_duplicate_lines(docs, min_docs=2).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert [(r["n_lines"], r["n_dropped"], r["text"]) for r in got] == [(1_000_000, 1_000_000, "")] * 2
+    assert time.perf_counter() - began < 60
+
+
+def test_equal_rows_are_combined_before_they_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one\ntwo\nthree").alias("text"))
+    assert D.line_hashes(docs).distinct().count() == 3
+    got = D.drop_duplicate_lines(docs, min_docs=2)
+    assert got.count() == 100_000 and got.filter("n_dropped > 0").count() == 0
