@@ -1,132 +1,98 @@
-"""Classification of candidates and the greedy choice of diverse results.
-
-A candidate's class depends on nothing but itself, so all candidates are
-classified in parallel. The greedy choice is sequential, but a decision only
-ever looks at sets that share an edge (disjoint sets have Jaccard 0 and no
-inclusion), so it runs apart in each component of overlapping candidates. With
-`max_jac <= 0` the first set blocks all others, and one set is the result.
+"""The greedy choice of diverse results, in rounds.
+
+Results are taken one after the other by a fixed order, and each set taken
+excludes later ones: those that are part of it, and those whose Jaccard
+similarity with it reaches a bound. Which sets exclude which is a join
+(`setjoin`), a table of conflicts from earlier to later. A set without an undecided
+earlier one is taken, all that it excludes go, and both leave the table. Each
+round decides many sets at once, wherever they are; the result is that of going
+through the order one by one.
+
+First the candidates, largest first (ties by their edges): one of `max_cc_size`
+edges or more goes; one that is taken excludes by itself if it is dense, and
+otherwise by its extracted parts, and these by inclusion only. Then the parts of
+the candidates taken, largest first, under both tests against each other and the
+dense candidates taken. With `max_jac <= 0` the first dense candidate, or without
+one the first part, is the only result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
-from corrweave.operators.components import components
-from corrweave.operators.peel import Candidate, Rules
-
-CLASS_SCHEMA = "cand array<bigint>, class string, sets array<struct<edges: array<bigint>, density: double>>"
-
-
-def classify(cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
-    """(cand, class, sets) of each candidate.
-
-    The search is exponential in a candidate's size, so candidates are dealt to a fixed number of tasks by hash, and each task takes its largest first.
-    """
-    spark = cands.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    keyed = cands.select(S.set_text(F.col("edges")).alias("k"), F.explode("edges").alias("edge_id"))
-    full = keyed.join(edges.select("edge_id", "src", "dst", "series", "support"), "edge_id")
-    grouped = full.groupBy("k").agg(F.collect_list(F.struct("edge_id", "src", "dst", "series", "support")).alias("m"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for m in b.column(0).to_pylist():
-                c = Candidate([x["edge_id"] for x in m], [(x["src"], x["dst"]) for x in m], [x["series"] for x in m], [x["support"] for x in m], rules)
-                kind, sets = c.classify()
-                rows.append((c.ids, kind, [{"edges": e, "density": d} for e, d in sets]))
-            kinds = [pa.list_(pa.int64()), pa.string(), pa.list_(pa.struct([("edges", pa.list_(pa.int64())), ("density", pa.float64())]))]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, names=["cand", "class", "sets"])
-
-    dealt = grouped.repartition(tasks, F.xxhash64("k")).sortWithinPartitions(F.size("m").desc(), "k")
-    return dealt.select("m").mapInArrow(run, CLASS_SCHEMA)
-
-
-def choose(rows: Iterable[tuple[list[int], str, list[tuple[list[int], float]]]], max_cc_size: int, max_jac: float) -> list[tuple[list[int], float, str]]:
-    """The greedy choice over (candidate, class, dense sets).
-
-    First the candidates, largest first (ties by their edges): one of
-    max_cc_size edges or more, one that is part of an earlier extracted or
-    accepted set, or one whose Jaccard similarity with an accepted set reaches
-    max_jac goes. Then the extracted sets, largest first, under the last two
-    tests against accepted sets.
-    """
-    kept: list[tuple[frozenset[int], list[int], float, str]] = []
-    parts: dict[frozenset[int], tuple[list[int], float]] = {}
-    held: dict[int, list[frozenset[int]]] = {}  # edge -> accepted or extracted sets with it
-    accepted: dict[int, list[frozenset[int]]] = {}
-
-    def note(index: dict[int, list[frozenset[int]]], s: frozenset[int]) -> None:
-        for e in s:
-            index.setdefault(e, []).append(s)
-
-    def fits(s: frozenset[int], index: dict[int, list[frozenset[int]]]) -> bool:
-        rarest = min((index.get(e, []) for e in s), key=len)
-        if any(s <= x for x in rarest):
-            return False
-        if kept and max_jac <= 0:
-            return False
-        near = {x for e in s for x in accepted.get(e, ())}
-        return not any(len(s & x) / len(s | x) >= max_jac for x in near)
+from corrweave.operators.setjoin import contained_pairs, not_contained, similar_pairs
+from corrweave.session import Scratch, cut
 
-    for cand, kind, sets in sorted(rows, key=lambda r: (-len(r[0]), sorted(r[0]))):
-        s = frozenset(cand)
-        if len(s) >= max_cc_size or not fits(s, held):
-            continue
-        if kind == "direct":
-            kept.append((s, sorted(cand), sets[0][1], kind))
-            note(held, s)
-            note(accepted, s)
-        elif kind == "extracted":
-            for e, d in sets:
-                part = frozenset(e)
-                if part not in parts:
-                    parts[part] = (sorted(e), d)
-                    note(held, part)
-    for part, (e, d) in sorted(parts.items(), key=lambda p: (-len(p[0]), p[1][0])):
-        if fits(part, accepted):
-            kept.append((part, e, d, "extracted"))
-            note(accepted, part)
-    return [(e, d, kind) for _, e, d, kind in kept]
 
+def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The items (k) that stay if each one, in an order that every row (early, late) of `conflicts` follows, excludes its later ones. A checkpoint."""
+    scratch = Scratch(items.sparkSession, "choice")
+    left = scratch.keep(conflicts.select("early", "late").distinct())
+    kept = items.select("k")
+    while left.count():  # from the footers of a written table
+        free = left.select(F.col("early").alias("k")).distinct().join(left.select(F.col("late").alias("k")), "k", "left_anti")
+        gone = scratch.keep(left.join(free, F.col("early") == F.col("k"), "left_semi").select(F.col("late").alias("k")).distinct())
+        kept = kept.join(gone, "k", "left_anti")
+        undecided = left.join(gone, F.col("early") == F.col("k"), "left_anti").join(gone, F.col("late") == F.col("k"), "left_anti")
+        left = scratch.keep(undecided)
+    out = cut(kept)
+    scratch.clear()
+    return out
 
-RESULT_SCHEMA = "edges array<bigint>, n_edges int, density double, origin string"
 
+def _in_order(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(early, late) of pairs (k1, k2) of `sets` (k, edges): larger sets come first, then those of lesser edges."""
+    x = lambda i: sets.select(F.col("k").alias(f"k{i}"), F.struct((-F.size("edges")).alias("n"), "edges").alias(f"o{i}"))
+    both = pairs.select("k1", "k2").join(x(1), "k1").join(x(2), "k2")
+    first = F.col("o1") < F.col("o2")
+    return both.select(F.when(first, F.col("k1")).otherwise(F.col("k2")).alias("early"), F.when(first, F.col("k2")).otherwise(F.col("k1")).alias("late"))
 
-def _chooser(max_cc_size: int, max_jac: float):
-    def run(batch: pa.Table) -> pa.Table:
-        rows = [(r["cand"], r["class"], [(x["edges"], x["density"]) for x in r["sets"]]) for r in batch.to_pylist()]
-        got = choose(rows, max_cc_size, max_jac)
-        return pa.table({
-            "edges": pa.array([g[0] for g in got], pa.list_(pa.int64())),
-            "n_edges": pa.array([len(g[0]) for g in got], pa.int32()),
-            "density": pa.array([g[1] for g in got], pa.float64()),
-            "origin": pa.array([g[2] for g in got], pa.string()),
-        })
 
-    return run
+def _first(sets: DataFrame) -> DataFrame:
+    return sets.orderBy(F.size("edges").desc(), "edges").limit(1)
 
 
 def diverse(classified: DataFrame, max_cc_size: int, max_jac: float) -> DataFrame:
-    """The accepted sets: edges, n_edges, density, origin ("direct" or "extracted")."""
-    live = classified.filter((F.size("cand") < max_cc_size) & (F.size("sets") > 0))
-    run = _chooser(max_cc_size, max_jac)
-    if max_jac <= 0:
-        # The first direct candidate, or without one the first extracted set, is the only result.
-        direct = live.filter(F.col("class") == "direct").orderBy(F.size("cand").desc(), "cand").limit(1)
-        if direct.isEmpty():
-            parts = live.select(F.explode("sets").alias("s")).select("s.edges", "s.density")
-            best = parts.orderBy(F.size("edges").desc(), "edges").limit(1)
-            return best.select("edges", F.size("edges").alias("n_edges"), "density", F.lit("extracted").alias("origin"))
-        return direct.select(F.col("cand").alias("edges"), F.size("cand").alias("n_edges"), F.col("sets")[0]["density"].alias("density"), F.col("class").alias("origin"))
-    first = F.array_min("cand")
-    links = live.select(F.explode("cand").alias("a"), first.alias("b"))
-    groups = components(links).select(F.col("node").alias("first"), "component")
-    keyed = live.withColumn("first", first).join(groups, "first", "left").withColumn("component", F.coalesce("component", "first"))
-    return keyed.select("component", "cand", "class", "sets").groupBy("component").applyInArrow(lambda t: run(t), RESULT_SCHEMA)
+    """The accepted sets of (cand, class, sets): edges, n_edges, density, origin ("direct" or "extracted"). A checkpoint."""
+    scratch = Scratch(classified.sparkSession, "diverse")
+    fit = classified.filter((F.size("cand") < max_cc_size) & (F.size("sets") > 0))
+    live = scratch.keep(fit.select(S.set_text(F.col("cand")).alias("k"), F.array_sort("cand").alias("edges"), "class", "sets"))
+    direct = live.filter(F.col("class") == "direct").select("k", "edges", F.col("sets")[0]["density"].alias("density"))
+    made = live.filter(F.col("class") == "extracted").select(F.col("k").alias("owner"), F.explode("sets").alias("s"))
+    parts = scratch.keep(made.select("owner", S.set_text(F.col("s.edges")).alias("k"), F.array_sort("s.edges").alias("edges"), "s.density"))
+    cands, one = live.select("k", "edges"), max_jac <= 0
+    near = 0 < max_jac < 1  # similarity 1 means equal, which inclusion covers
+
+    holders = parts.select("owner", "k", "edges")
+    if not one:
+        holders = holders.union(direct.select("k", "k", "edges"))
+    held = holders.select("k", "edges").dropDuplicates(["k"])
+    inside = contained_pairs(cands, held).join(holders.select(F.col("k").alias("k2"), "owner"), "k2")
+    conflicts = inside.select(F.col("owner").alias("early"), F.col("k1").alias("late")).filter("early <> late")
+    if near:
+        similar = _in_order(similar_pairs(cands, bound=max_jac), cands)
+        conflicts = conflicts.union(similar.join(direct.select("k"), F.col("early") == F.col("k"), "left_semi"))
+    passing = first_come(cands, conflicts)
+
+    accepted = scratch.keep(direct.join(passing, "k", "left_semi"))
+    loose = parts.join(passing.select(F.col("k").alias("owner")), "owner", "left_semi").dropDuplicates(["k"]).select("k", "edges", "density")
+    if one:
+        best = accepted if not accepted.isEmpty() else loose
+        chosen, origin = _first(best), "direct" if not accepted.isEmpty() else "extracted"
+        out = chosen.select("edges", F.size("edges").alias("n_edges"), "density", F.lit(origin).alias("origin"))
+    else:
+        free = not_contained(loose, accepted)
+        if near:
+            free = free.join(similar_pairs(free, accepted, max_jac).select(F.col("k1").alias("k")), "k", "left_anti")
+        free = scratch.keep(free)
+        inner = contained_pairs(free, free).filter("k1 <> k2").select(F.col("k2").alias("early"), F.col("k1").alias("late"))
+        if near:
+            inner = inner.union(_in_order(similar_pairs(free, bound=max_jac), free))
+        chosen = loose.join(first_come(free, inner), "k", "left_semi")
+        both = accepted.withColumn("origin", F.lit("direct")).unionByName(chosen.withColumn("origin", F.lit("extracted")))
+        out = both.select("edges", F.size("edges").alias("n_edges"), "density", "origin")
+    out = cut(out)
+    scratch.clear()
+    return out

@@ -13,8 +13,9 @@ from corrweave.config import MineConfig
 from corrweave.operators.candidates import candidates
 from corrweave.operators.cliques import maximal_cliques
 from corrweave.operators.correlate import correlated_pairs
+from corrweave.operators.lattice import classify
 from corrweave.operators.peel import Rules
-from corrweave.operators.select import classify, diverse
+from corrweave.operators.select import diverse
 from corrweave.plans import views
 from corrweave.session import cut
 from corrweave.sources.graph import node_dictionary, read_edge_list
@@ -57,7 +58,7 @@ def staged(edges: DataFrame, config: MineConfig) -> tuple[DataFrame, list[tuple[
 
 def mine(edges: DataFrame, config: MineConfig) -> DataFrame:
     """edges, n_edges, density and origin of each accepted subgraph. `edges` should be cheap to read again."""
-    return diverse(cut(classified(edges, config)), config.max_cc_size, config.max_jac)
+    return diverse(classified(edges, config), config.max_cc_size, config.max_jac)
 
 
 def encode_nodes(edges: DataFrame) -> DataFrame:

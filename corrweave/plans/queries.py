@@ -18,8 +18,8 @@ from corrweave.operators import cliques as cliq
 from corrweave.operators import components as comp
 from corrweave.operators import correlate as cor
 from corrweave.operators import density as den
+from corrweave.operators.lattice import classify
 from corrweave.operators.peel import Rules
-from corrweave.operators.select import classify
 from corrweave.plans import mine as M
 from corrweave.plans import views
 from corrweave.session import cut, shared_dir

@@ -94,3 +94,27 @@ def lattice(edges, ends, series, k, kind, min_den):
                 continue
         todo += [c for c in (drop([v]) for v in low) if c and c not in seen]
     return found
+
+
+def choose(rows, max_cc_size, max_jac):
+    """The greedy choice over (candidate, class, dense sets), one set after the other."""
+    kept, parts = [], {}
+
+    def fits(s, held):
+        if any(s <= x for x in held) or (kept and max_jac <= 0):
+            return False
+        return not any(len(s & x) / len(s | x) >= max_jac for x, *_ in kept)
+
+    for cand, kind, found in sorted(rows, key=lambda r: (-len(r[0]), sorted(r[0]))):
+        s = frozenset(cand)
+        if len(s) >= max_cc_size or not fits(s, [x for x, *_ in kept] + list(parts)):
+            continue
+        if kind == "direct":
+            kept.append((s, found[0][1], kind))
+        elif kind == "extracted":
+            for e, d in found:
+                parts.setdefault(frozenset(e), d)
+    for part in sorted(parts, key=lambda p: (-len(p), sorted(p))):
+        if fits(part, [x for x, *_ in kept]):
+            kept.append((part, parts[part], "extracted"))
+    return [(sorted(s), d, kind) for s, d, kind in kept]

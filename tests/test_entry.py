@@ -36,8 +36,8 @@ def test_sql_agrees(spark, name):
 
 
 def test_flagship_extracts_nothing_where_its_sql_says_so(spark):
+    from corrweave.operators.lattice import classify
     from corrweave.operators.peel import Rules
-    from corrweave.operators.select import classify
     from corrweave.plans import queries as Q
 
     edges = Q._bursts(spark, SF)

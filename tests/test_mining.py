@@ -11,8 +11,8 @@ from corrweave.operators import cliques as cliq
 from corrweave.operators import correlate as cor
 from corrweave.operators import density as den
 from corrweave.operators.components import components
+from corrweave.operators.lattice import classify
 from corrweave.operators.peel import Candidate, Rules
-from corrweave.operators.select import choose, classify
 from corrweave.plans import mine as M
 from corrweave.plans import views
 from corrweave.sources import graph as G
@@ -140,12 +140,12 @@ def test_choice_is_diverse_and_maximal():
     rows = [(sorted(rnd.sample(range(20), rnd.randint(2, 7))), "direct", []) for _ in range(60)]
     rows = [(c, k, [(c, 1.0)]) for c, k, _ in rows]
     for bound in (0.3, 1.0):
-        got = [set(e) for e, _, _ in choose(rows, 6, bound)]
+        got = [set(e) for e, _, _ in brute.choose(rows, 6, bound)]
         assert got and all(len(s) < 6 for s in got)
         for i, a in enumerate(got):
             for b in got[i + 1 :]:
                 assert not b <= a and len(a & b) / len(a | b) < bound
-    assert len(choose(rows, 100, 0.0)) == 1
+    assert len(brute.choose(rows, 100, 0.0)) == 1
 
 
 def test_choice_is_the_same_by_component(spark):
@@ -154,7 +154,7 @@ def test_choice_is_the_same_by_component(spark):
     config = MineConfig(min_cor=0.4, min_den=1.2, min_edges_in_snap=1, max_cc_size=10, max_jac=0.6)
     found = M.classified(edges, config).cache()
     rows = [(r["cand"], r["class"], [(s["edges"], s["density"]) for s in r["sets"]]) for r in found.collect()]
-    whole = {tuple(e) for e, _, _ in choose(rows, 10, 0.6)}
+    whole = {tuple(e) for e, _, _ in brute.choose(rows, 10, 0.6)}
     assert sets(M.mine(edges.repartition(3), config)) == whole
 
 
