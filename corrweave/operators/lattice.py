@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
@@ -31,6 +31,10 @@ _LEFT = pa.list_(pa.struct([("level", pa.int32()), ("mask", pa.binary())]))
 _STATE = "k string, kind string, level int, mask binary, parent binary, edges array<bigint>, density double"
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def with_members(cands: DataFrame, edges: DataFrame) -> DataFrame:
     """(k, m): each candidate by name with its edges' ends, series and supports."""
     keyed = cands.select(S.set_text(F.col("edges")).alias("k"), F.explode("edges").alias("edge_id"))
@@ -76,10 +80,15 @@ def _looks(rules: Rules, branch: bool):
 
 
 def _look_at(states: DataFrame, members: DataFrame, rules: Rules, branch: bool = False) -> DataFrame:
-    """`_looks` of states (k, mask): a candidate's states are dealt to as many tasks as they are many."""
+    """`_looks` of states (k, mask): a candidate's states are dealt to as many tasks as they are many.
+
+    The number of tasks is stated, as states are few bytes and much work: partitions would be merged by their bytes.
+    """
+    tasks = _tasks(states.sparkSession)
     salts = states.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / TASK_STATES).cast("int").alias("salts"))
     dealt = states.join(salts, "k").select("k", "mask", F.pmod(F.xxhash64("mask"), F.col("salts")).cast("int").alias("salt"))
     blobs = members.join(salts, "k").select("k", "m", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt, blobs = dealt.repartition(tasks, "k", "salt"), blobs.repartition(tasks, "k", "salt")
     return dealt.groupBy("k", "salt").cogroup(blobs.groupBy("k", "salt")).applyInArrow(_looks(rules, branch), _STATE)
 
 
@@ -114,11 +123,9 @@ def classify(cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
 
     Candidates are dealt to a fixed number of tasks by hash, and each task takes its largest first. The result is a checkpoint.
     """
-    spark = cands.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    scratch = Scratch(spark, "classes")
+    scratch = Scratch(cands.sparkSession, "classes")
     members = scratch.keep(with_members(cands, edges))
-    dealt = members.repartition(tasks, F.xxhash64("k")).sortWithinPartitions(F.size("m").desc(), "k")
+    dealt = members.repartition(_tasks(cands.sparkSession), F.xxhash64("k")).sortWithinPartitions(F.size("m").desc(), "k")
     looked = scratch.keep(dealt.mapInArrow(_classes(rules), CLASSES))
     result = looked
     opened = looked.filter(F.col("class") == "open")
