@@ -64,7 +64,7 @@ def _looks(rules: Rules, branch: bool):
         k = states.column("k")[0].as_py() if states.num_rows else None
         c = Candidate.of_members(blob.column("m")[0].as_py(), rules) if k is not None else None
         for mask in states.column("mask").to_pylist():
-            state = int.from_bytes(mask, "little")
+            state = int.from_bytes(mask, "big")
             x = c.look(state)
             if x.density is not None:
                 rows.append((k, "dense", c.level(state), mask, None, c.named(state), x.density))

@@ -74,7 +74,7 @@ class Candidate:
         return [e for i, e in enumerate(self.ids) if state >> i & 1]
 
     def key(self, state: State) -> bytes:
-        return state.to_bytes(self.width, "little")
+        return state.to_bytes(self.width, "big")
 
     def degrees(self, state: State) -> dict[int, int]:
         """Degree by the node's place in `nodes`."""

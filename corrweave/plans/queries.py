@@ -7,6 +7,7 @@ compare them alike; measured values are rounded to six places.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ from corrweave.operators import cliques as cliq
 from corrweave.operators import components as comp
 from corrweave.operators import correlate as cor
 from corrweave.operators import density as den
+from corrweave.operators import existence, setjoin
 from corrweave.operators.lattice import classify
 from corrweave.operators.peel import Rules
 from corrweave.plans import mine as M
+from corrweave.plans import mining_sql as W
 from corrweave.plans import views
 from corrweave.session import cut, shared_dir
 from corrweave.sources import graph as G
@@ -251,6 +254,14 @@ def dense_direct_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AVG_CONFIG = MineConfig(name="nation", min_cor=MIN_COR, min_den=1.0, min_edges_in_snap=1, density="avg", max_cc_size=40, max_jac=1.0)
+DIVERSE_CONFIG = replace(AVG_CONFIG, min_den=0.8, max_jac=0.5)
+APART_CONFIG = replace(CONFIG, max_jac=0.3)
+SINGLE_CONFIG = replace(AVG_CONFIG, max_jac=0.0)
+WEIGHTED_CONFIG = replace(CONFIG, weighted=True, min_edges_in_snap=1)
+WEIGHTED_AVG_CONFIG = replace(CONFIG, weighted=True, min_edges_in_snap=1, min_den=3.0, density="avg", max_jac=0.5)
+#: Bounds that decide something on these tables: similarity and sizes of candidates, and densities looked for within them.
+SIMILAR, FEWEST, SIZE_BOUND = 0.5, 2, 3
+HOLDS_MIN, HOLDS_AVG = 0.6, 1.2
 
 
 def dense_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,14 +292,64 @@ def dense_subgraphs_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_subgraphs_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
+    """Average density, and results of similarity below one half."""
+    return _result(M.mine(_bursts(spark, sf_dir), DIVERSE_CONFIG))
 
-    return _result(M.mine(_bursts(spark, sf_dir), replace(AVG_CONFIG, min_den=0.8, max_jac=0.5)))
 
+def dense_subgraphs_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimum density, and a bound on similarity that decides."""
+    return _result(M.mine(_bursts(spark, sf_dir), APART_CONFIG))
 
-def dense_subgraphs_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dataclasses import replace
 
+def dense_subgraphs_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bound of 0 on similarity: one result."""
+    return _result(M.mine(_bursts(spark, sf_dir), SINGLE_CONFIG))
+
+
+def dense_subgraphs_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted series: correlation of the monthly line items, minimum density."""
+    return _result(M.mine(cut(G.nation_trade(spark, sf_dir)), WEIGHTED_CONFIG))
+
+
+def dense_subgraphs_weighted_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `dense_subgraphs_weighted`, by average weight, and results of similarity below one half."""
+    return _result(M.mine(cut(G.nation_trade(spark, sf_dir)), WEIGHTED_AVG_CONFIG))
+
+
+def _holds(spark: SparkSession, sf_dir: str, min_den: float, density: str) -> DataFrame:
+    edges = _bursts(spark, sf_dir)
+    return existence.contains_dense(_candidates(edges), edges, K, min_den, density).select(F.col("k").alias("edges"), "contains")
+
+
+def contains_dense_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each candidate holds a dense part, by bulk peeling."""
+    return _holds(spark, sf_dir, HOLDS_MIN, "min")
+
+
+def contains_dense_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _holds(spark, sf_dir, HOLDS_AVG, "avg")
+
+
+def similar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of candidates that the bound on similarity keeps apart."""
+    x = setjoin.similar_pairs(setjoin.named(_candidates(_bursts(spark, sf_dir))), bound=SIMILAR)
+    return x.select(F.col("k1").alias("edges1"), F.col("k2").alias("edges2"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def contained_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are part of others, with these."""
+    sets = setjoin.named(_candidates(_bursts(spark, sf_dir)))
+    return setjoin.contained_pairs(sets, sets).filter("k1 <> k2").select(F.col("k1").alias("edges"), F.col("k2").alias("whole"))
+
+
+def sized_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of enough edges, and fewer than the bound."""
+    edges = _bursts(spark, sf_dir)
+    x = cand.candidates(cliq.maximal_cliques(cut(_pairs(edges))), edges, FEWEST)
+    return _text(x.filter(F.col("n_edges") < SIZE_BOUND))
+
+
+def dense_subgraphs_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(M.mine(_bursts(spark, sf_dir), replace(CONFIG, exact=False, hash_funcs=HASH_FUNCS, hash_runs=HASH_RUNS)))
 
 
@@ -413,15 +474,6 @@ dens AS (
   FROM ss JOIN nn USING (edges) LEFT JOIN bt USING (edges)
 )
 """
-# Without a bound on similarity the greedy choice leaves the dense sets that are part of no other. No candidate of these tables
-# has a dense part that only peeling finds at the flagship's bounds (tests check it), so the dense sets are dense candidates.
-_RESULTS = f"""
-dense AS (SELECT edges, n_edges, es, min_density AS d FROM dens JOIN cands USING (edges, n_edges) WHERE min_density >= {DELTA} AND n_edges < 40),
-found AS (
-  SELECT edges, es, n_edges, d, round(d, 6) AS density, 'direct' AS origin FROM dense a
-  WHERE NOT EXISTS (SELECT 1 FROM dense b WHERE b.n_edges > a.n_edges AND list_has_all(b.es, a.es))
-)
-"""
 _VIEWS = """
 classes AS (SELECT CAST(row_number() OVER (ORDER BY value DESC) AS BIGINT) AS id, value FROM (SELECT DISTINCT round_even(d, 3) AS value FROM found ORDER BY value DESC LIMIT 6)),
 placed AS (SELECT CAST(row_number() OVER (ORDER BY d DESC, n_edges DESC, es) - 1 AS BIGINT) AS s, es, round_even(d, 3) AS value FROM found),
@@ -438,6 +490,13 @@ def _sql(select: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(p.strip() for p in (_CELLS, *parts)) + "\n" + select
 
 
+def _sql_weighted(select: str, *parts: str) -> str:
+    """As `_sql` over the weighted graph: alive where the weight is positive, support as the sum of weights."""
+    cells = _CELLS[: _CELLS.index("snap AS (SELECT")].strip()
+    graph = "snap AS (SELECT edge_id, t FROM trade WHERE w > 0),\nedges AS (SELECT edge_id, src, dst, total AS support FROM ends)"
+    return "WITH RECURSIVE " + cells + "\n" + ",\n".join(p.strip() for p in (graph, *parts)) + "\n" + select
+
+
 def _hash_sql() -> tuple[str, str]:
     mins = []
     for h in range(HASH_FUNCS * HASH_RUNS):
@@ -468,8 +527,12 @@ def oracle_sql() -> dict[str, str]:
     full = (*parts, _DENSITY)
     lsh_parts = (_PAIRS.partition(", adj AS")[0], codes, lsh)
     near = "adj AS (SELECT e1 AS u, e2 AS v FROM pairs JOIN lsh USING (e1, e2) UNION ALL SELECT e2, e1 FROM pairs JOIN lsh USING (e1, e2))"
-    approximate = (*lsh_parts, near, _CLIQUES, _TABLE, _CM, _DENSITY, _RESULTS)
-    mined = (*full, _RESULTS)
+    run = lambda config, *before: (*(before or parts), *W.mined(config.min_edges_in_snap, config.min_den, config.density, config.max_jac, config.max_cc_size))
+    approximate = run(CONFIG, *lsh_parts, near, _CLIQUES, _TABLE, _CM)
+    mined = run(CONFIG)
+    weighted = (_DENSE_W, _MOMENTS, f"pairs AS (SELECT e1, e2, r FROM rs WHERE r >= {MIN_COR}), adj AS (SELECT e1 AS u, e2 AS v FROM pairs UNION ALL SELECT e2, e1 FROM pairs)", _CLIQUES, _TABLE, _CM)
+    accepted = "SELECT edges, n_edges, density, origin FROM found"
+    extracted = "SELECT DISTINCT array_to_string(es, ',') AS edges, round(d, 6) AS density FROM lat WHERE d IS NOT NULL"
     viewed = (*mined, _VIEWS)
     reach = "hop(u, v) AS (SELECT src, dst FROM ends UNION ALL SELECT dst, src FROM ends),\nreach(u, v) AS (SELECT u, u FROM hop UNION SELECT r.u, h.v FROM reach r JOIN hop h ON h.u = r.v)"
     degree = "deg AS (SELECT t, node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT t, unnest([src, dst]) AS node FROM snap JOIN edges USING (edge_id)) GROUP BY t, node)"
@@ -536,8 +599,24 @@ def oracle_sql() -> dict[str, str]:
         ),
         "clique_check": _sql("SELECT k AS edges, true AS is_clique, true AS is_maximal FROM cliques", *graph),
         "graph_components": _sql("SELECT edge_id, min(v) AS component FROM ends JOIN reach ON u = src GROUP BY edge_id", reach),
-        "dense_subgraphs_min": _sql("SELECT edges, n_edges, density, origin FROM found", *mined),
-        "dense_subgraphs_approximate": _sql("SELECT edges, n_edges, density, origin FROM found", *approximate),
+        "dense_extracted": _sql(extracted, *parts, W.ONE, W.lattice(1, 1.0, "avg")),
+        "dense_extracted_min": _sql(extracted, *parts, W.ONE, W.lattice(1, 0.8, "min")),
+        "dense_subgraphs_min": _sql(accepted, *mined),
+        "dense_subgraphs_approximate": _sql(accepted, *approximate),
+        "dense_subgraphs_avg": _sql(accepted, *run(AVG_CONFIG)),
+        "dense_subgraphs_diverse": _sql(accepted, *run(DIVERSE_CONFIG)),
+        "dense_subgraphs_apart": _sql(accepted, *run(APART_CONFIG)),
+        "dense_subgraphs_single": _sql(accepted, *run(SINGLE_CONFIG)),
+        "dense_subgraphs_weighted": _sql_weighted(accepted, *run(WEIGHTED_CONFIG, *weighted)),
+        "dense_subgraphs_weighted_avg": _sql_weighted(accepted, *run(WEIGHTED_AVG_CONFIG, *weighted)),
+        "contains_dense_min": _sql("SELECT edges, contains FROM held", *parts, W.ONE, W.existence(K, HOLDS_MIN, "min")),
+        "contains_dense_avg": _sql("SELECT edges, contains FROM held", *parts, W.ONE, W.existence(K, HOLDS_AVG, "avg")),
+        "similar_candidates": _sql(
+            f"SELECT edges1, edges2, round(jaccard, 6) AS jaccard FROM (SELECT a.edges AS edges1, b.edges AS edges2, len(list_intersect(a.es, b.es)) / CAST(len(list_distinct(list_concat(a.es, b.es))) AS DOUBLE) AS jaccard FROM cands a JOIN cands b ON a.edges < b.edges) WHERE jaccard >= {SIMILAR}",
+            *parts,
+        ),
+        "contained_candidates": _sql("SELECT a.edges, b.edges AS whole FROM cands a JOIN cands b ON a.n_edges < b.n_edges AND list_has_all(b.es, a.es)", *parts),
+        "sized_candidates": _sql(f"SELECT edges, n_edges FROM cands WHERE n_edges >= {FEWEST} AND n_edges < {SIZE_BOUND}", *parts),
         "result_file": _sql("SELECT replace(edges, ',', chr(9)) || chr(9) AS line FROM found", *mined),
         "run_statistics": _sql(
             f"SELECT 'nation' AS file, count(*) AS n_results, true AS is_min, CAST({MIN_COR} AS DOUBLE) AS min_cor, CAST({DELTA} AS DOUBLE) AS min_den, CAST(40 AS INTEGER) AS max_size, CAST({K} AS INTEGER) AS k, CAST(1.0 AS DOUBLE) AS max_jac FROM found", *mined
@@ -569,7 +648,8 @@ _QUERIES = (
     edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, candidate_degrees, clique_check, graph_components,
     result_file, run_statistics, stage_counts, correlation_adjacency, correlation_components, maximal_cliques, candidate_components, candidate_connected, maximal_candidates, jaccard_pairs,
     candidate_nodes, k_edge_snapshots, min_density, avg_density, dense_direct_min, dense_direct_avg, dense_extracted, dense_extracted_min, dense_subgraphs_min,
-    dense_subgraphs_avg, dense_subgraphs_diverse, dense_subgraphs_approximate, explode_view, result_nodes, result_edges, result_densities,
+    dense_subgraphs_avg, dense_subgraphs_diverse, dense_subgraphs_approximate, dense_subgraphs_apart, dense_subgraphs_single, dense_subgraphs_weighted,
+    dense_subgraphs_weighted_avg, contains_dense_min, contains_dense_avg, similar_candidates, contained_candidates, sized_candidates, explode_view, result_nodes, result_edges, result_densities,
     snapshot_stream_cells,
 )
 
