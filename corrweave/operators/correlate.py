@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
+from corrweave.operators.dense import close_pairs
+from corrweave.session import Scratch, cut
 from corrweave.sources.graph import snapshots
 
 
@@ -60,17 +62,15 @@ def all_pairs(edges: DataFrame, columns: list[str], blocks: int = 8) -> DataFram
     return left.join(right, "key").filter((F.col("e1") < F.col("e2")) & apart).drop("key", "b1", "b2")
 
 
-def dense_pairs(edges: DataFrame, min_cor: float, measure: str = "pearson", blocks: int = 8) -> DataFrame:
-    """Pairs with similarity >= min_cor for any series (weighted, negative) and any threshold."""
-    if measure == "pearson":
-        dev = edges.select("edge_id", S.centred(F.col("series")).alias("dev"))
-        scaled = dev.withColumn("len", S.norm(F.col("dev"))).filter("len > 0")
-        both = all_pairs(scaled, ["dev", "len"], blocks)
-        r = S.dot(F.col("dev1"), F.col("dev2")) / (F.col("len1") * F.col("len2"))
-    else:
-        both = all_pairs(edges, ["series"], blocks)
-        r = S.MEASURES[measure](F.col("series1"), F.col("series2"))
-    found = both.select("e1", "e2", r.alias("r"))
+def dense_pairs(edges: DataFrame, min_cor: float, measure: str = "pearson", blocks: int | None = None) -> DataFrame:
+    """Pairs with similarity >= min_cor for any series (weighted, negative) and any threshold.
+
+    Pearson's and the Euclidean measure search by pivots (`dense`, `blocks` of them); others, which may be no metric, compare all pairs.
+    """
+    if measure in ("pearson", "euclidean"):
+        return close_pairs(edges, min_cor, measure, blocks)
+    both = all_pairs(edges, ["series"], blocks or 8)
+    found = both.select("e1", "e2", S.MEASURES[measure](F.col("series1"), F.col("series2")).alias("r"))
     return found.filter(F.col("r").isNotNull() & ~F.isnan("r") & (F.col("r") >= min_cor))
 
 
@@ -102,7 +102,11 @@ def minhash_codes(edges: DataFrame, hash_funcs: int, hash_runs: int) -> DataFram
 def minhash_candidates(edges: DataFrame, hash_funcs: int = 5, hash_runs: int = 2) -> DataFrame:
     """Distinct pairs that share a code in some run. Constant series correlate with nothing, and all share one code where always alive: they go first."""
     varied = edges.filter(F.array_min("series") < F.array_max("series"))
-    codes = minhash_codes(varied, hash_funcs, hash_runs)
+    return _sharing(minhash_codes(varied, hash_funcs, hash_runs))
+
+
+def _sharing(codes: DataFrame) -> DataFrame:
+    """Distinct pairs of edges with a code in common."""
     a = codes.withColumnRenamed("edge_id", "e1")
     b = codes.withColumnRenamed("edge_id", "e2")
     return a.join(b, ["run", "code"]).filter(F.col("e1") < F.col("e2")).select("e1", "e2").distinct()
@@ -128,8 +132,32 @@ def verify(candidates: DataFrame, edges: DataFrame, min_cor: float, measure: str
     return found.filter(F.col("r").isNotNull() & ~F.isnan("r") & (F.col("r") >= min_cor))
 
 
-def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_runs: int = 2, weighted: bool = False) -> DataFrame:
-    return verify(minhash_candidates(edges, hash_funcs, hash_runs), edges, min_cor, weighted=weighted)
+#: Edges of one code, above which its pairs aren't listed.
+CROWD = 1000
+
+
+def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_runs: int = 2, weighted: bool = False, crowd: int = CROWD) -> DataFrame:
+    """Pairs that share a code in some run, with r >= min_cor.
+
+    Codes of up to `crowd` edges list their pairs, which are verified. The edges of
+    larger ones, whose pairs would grow with the square, are searched by pivots, where
+    only pairs that reach min_cor are rows, and those that share such a code are kept.
+    The result is the same for any `crowd`.
+    """
+    scratch = Scratch(edges.sparkSession, "minhash")
+    varied = edges.filter(F.array_min("series") < F.array_max("series"))
+    codes = scratch.keep(minhash_codes(varied, hash_funcs, hash_runs))
+    large = scratch.keep(codes.groupBy("run", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("run", "code"))
+    found = verify(_sharing(codes.join(large, ["run", "code"], "left_anti")), edges, min_cor, weighted=weighted)
+    if large.count():
+        hot = scratch.keep(codes.join(large, ["run", "code"], "left_semi").select("edge_id", "run", "code"))
+        close = close_pairs(varied.join(hot.select("edge_id").distinct(), "edge_id", "left_semi"), min_cor, "pearson" if weighted else "binary")
+        one, two = hot.toDF("e1", "run", "code"), hot.toDF("e2", "run", "code")
+        kept = close.join(one, "e1").join(two, ["e2", "run", "code"]).select("e1", "e2", "r")
+        found = found.union(kept).dropDuplicates(["e1", "e2"])
+    out = cut(found)
+    scratch.clear()
+    return out
 
 
 def correlated_pairs(

@@ -18,6 +18,7 @@ from corrweave.operators import candidates as cand
 from corrweave.operators import cliques as cliq
 from corrweave.operators import components as comp
 from corrweave.operators import correlate as cor
+from corrweave.operators import cores
 from corrweave.operators import density as den
 from corrweave.operators import existence, setjoin
 from corrweave.operators.lattice import classify
@@ -170,6 +171,11 @@ def correlation_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cor.degrees(_pairs(_bursts(spark, sf_dir)))
 
 
+def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core number of each edge in the correlation graph."""
+    return cores.core_numbers(cut(_pairs(_bursts(spark, sf_dir))))
+
+
 def candidate_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of each edge inside and outside its candidate, in the correlation graph."""
     edges = _bursts(spark, sf_dir)
@@ -593,6 +599,11 @@ def oracle_sql() -> dict[str, str]:
             "ids AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS id, node FROM (SELECT node, min(place) AS place FROM (SELECT src AS node, 2 * edge_id AS place FROM ends UNION ALL SELECT dst, 2 * edge_id + 1 FROM ends) GROUP BY node))",
         ),
         "correlation_degree": _sql("SELECT u AS edge_id, CAST(count(*) AS BIGINT) AS degree FROM adj GROUP BY u", _PAIRS),
+        "core_numbers": _sql(
+            "SELECT u AS edge_id, c AS core FROM core WHERE i = 60",
+            _PAIRS,
+            "core(i, u, c) AS (SELECT 0, u, count(*) FROM adj GROUP BY u UNION ALL SELECT i, u, list_max(list_transform(range(1, len(cs) + 1), lambda h: least(h, cs[h]))) FROM (SELECT i + 1 AS i, adj.u, list(c ORDER BY c DESC) AS cs FROM core JOIN adj ON adj.v = core.u WHERE i < 60 GROUP BY i, adj.u))",
+        ),
         "candidate_degrees": _sql(
             "SELECT edges, edge_id, CAST(count(v) AS BIGINT) AS near, CAST(any_value(n_edges) - 1 - count(v) AS BIGINT) AS far, round(count(v) / CAST(any_value(n_edges) AS DOUBLE), 6) AS largeness FROM cm JOIN cands USING (edges) LEFT JOIN adj ON u = edge_id AND list_contains(es, v) GROUP BY edges, edge_id",
             *parts,
@@ -645,7 +656,7 @@ WHERE c_nationkey <> s_nationkey GROUP BY ALL""",
 _QUERIES = (
     edge_series, edge_support_weighted, edge_snapshots, edge_zscore, node_dictionary, incidence, static_degree, snapshot_degree, snapshot_avg_degree,
     min_degree_node, pearson_pairs, pearson_pairs_dense, pearson_pairs_weighted, euclidean_pairs, minhash_codes, minhash_candidates, minhash_pairs,
-    edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, candidate_degrees, clique_check, graph_components,
+    edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, core_numbers, candidate_degrees, clique_check, graph_components,
     result_file, run_statistics, stage_counts, correlation_adjacency, correlation_components, maximal_cliques, candidate_components, candidate_connected, maximal_candidates, jaccard_pairs,
     candidate_nodes, k_edge_snapshots, min_density, avg_density, dense_direct_min, dense_direct_avg, dense_extracted, dense_extracted_min, dense_subgraphs_min,
     dense_subgraphs_avg, dense_subgraphs_diverse, dense_subgraphs_approximate, dense_subgraphs_apart, dense_subgraphs_single, dense_subgraphs_weighted,
