@@ -31,6 +31,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import json
+import operator
 import re
 import unicodedata
 import zlib
@@ -60,6 +61,9 @@ SALT_ROWS = 200_000
 # --- tokenizing ---------------------------------------------------------------------------------------------------
 
 
+_ID = operator.attrgetter("id")
+
+
 class WordEncoder:
     """Token ids of whole texts from ids of their white-space parted words.
 
@@ -80,6 +84,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -114,7 +119,7 @@ class WordEncoder:
                 self.parts.clear()
                 self.part_bytes = 0
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)  # ASCII parts are printable
-            ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            ids = self.parts[part] = array("I", map(_ID, self.model.tokenize(shown))).tobytes()
             self.part_bytes += len(part) + len(ids)
         return ids
 
@@ -137,8 +142,25 @@ class WordEncoder:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; words of ASCII letters, alone or before one mark, are told without decoding the others."""
+        if not self.letters_are_parts:
+            return list(map(self._word, words))
+        out, known = [], self.parts.get
+        marks = {ord(c): self._part(c) for c in ".,|!"}
+        for word in words:
+            letters, mark = word, b""
+            if not word.isalpha() and word[-1] in marks:
+                letters, mark = word[:-1], marks[word[-1]]
+            if letters.isalpha():  # of bytes: ASCII letters
+                text = letters.decode()
+                out.append((known(text) or self._part(text)) + mark)
+            else:
+                out.append(self._word(word))
+        return out
+
     def _learn(self, new: list[bytes]) -> None:
-        ids = list(map(self._word, new))
+        ids = self._ids_of(new)
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         k = len(self.place)
@@ -151,20 +173,28 @@ class WordEncoder:
         self.used += len(flat)
         self.word_bytes += sum(map(len, new)) + 4 * len(flat)
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the store, or -1; one look-up a word."""
+        return np.fromiter(map(self.place.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+
     def encode(self, text: str) -> np.ndarray:
         if any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         found = text.encode(errors="replace").lower().split()  # of bytes: ASCII letters and ASCII white space
         if not found:
             return np.empty(0, dtype=np.uint32)
-        place = self.place
-        new = [w for w in dict.fromkeys(found) if w not in place]
-        if new:
-            if place and (len(place) + len(new) > self.most or self.word_bytes > self.most_bytes):
+        at = self._places(found)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            unknown = [found[i] for i in missing]
+            new = list(dict.fromkeys(unknown))
+            if self.place and (len(self.place) + len(new) > self.most or self.word_bytes > self.most_bytes):
                 self._reset()
-                place, new = self.place, list(dict.fromkeys(found))
-            self._learn(new)
-        at = np.fromiter(map(place.__getitem__, found), dtype=np.int64, count=len(found))
+                self._learn(list(dict.fromkeys(found)))
+                at = self._places(found)
+            else:
+                self._learn(new)
+                at[missing] = self._places(unknown)
         n = self.lengths[at]
         ends = np.cumsum(n)
         gather = np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]))
