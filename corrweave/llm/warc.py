@@ -7,8 +7,9 @@ the source's target URI and date, and name the source's payload digest beside
 the digest of their own block. Record ids follow from what they name (page_id,
 url and payload digest), so a task that runs again gives the same records.
 
-`write_warc` and `read_warc` go through Spark's text source with WARC's record
-ends as line separators: any store, splittable, no file held as a whole.
+`write_warc` writes them through Spark's text source with WARC's record ends as
+line separators, `read_warc` reads files record by record (`warc_reader`), and
+`responses_of` makes of what it has read the responses that `derive` takes.
 
 Each page is handled where it is scanned: no shuffle, no skew.
 
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .warc_reader import read_warc, responses_of  # noqa: F401
 
 VERSION = "WARC/1.0"
 #: `pages` don't say when they were fetched.
@@ -213,18 +215,5 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     records.select(whole.alias("value")).write.text(path, compression=compression, lineSep="\r\n\r\n")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: headers as a map (names as written) and the block."""
-    raw = spark.read.text(path, lineSep=f"\r\n\r\n{VERSION}\r\n")
-    value = F.regexp_replace("value", rf"^{VERSION}\r\n", "")
-    cut = F.expr("instr(value, '\\r\\n\\r\\n')")
-    parts = raw.select(value.alias("value")).select(F.expr("substring(value, 1, instr(value, '\\r\\n\\r\\n') - 1)").alias("head"), F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)").alias("rest"), cut.alias("at"))
-    parts = parts.filter(F.col("at") > 0)
-    headers = F.map_from_entries(F.transform(F.split("head", "\r\n"), lambda x: F.struct(F.substring_index(x, ": ", 1), F.substr(x, F.length(F.substring_index(x, ": ", 1)) + 3))))
-    out = parts.select(headers.alias("headers"), F.col("rest").cast("binary").alias("rest"))
-    length = F.col("headers")["Content-Length"].cast("int")
-    return out.select("headers", F.substring(F.col("rest"), F.lit(1), length).cast("string").alias("block"))
-
-
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages")))

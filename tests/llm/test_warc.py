@@ -100,3 +100,65 @@ def test_query_and_repeated_headers(spark, tmp_path):
     W.write_warc(W.derive(found), str(tmp_path / "out"))
     blocks = [r["block"] for r in W.read_warc(spark, str(tmp_path / "out")).collect() if r["headers"]["WARC-Type"] == "metadata"]
     assert json.loads(blocks[0])["Envelope"]["HTTP-Response"]["Headers"] == [["Set-Cookie", "a=1"], ["set-cookie", "b=2"], ["Empty", ""], ["Set-Cookie", "a=1"]]
+
+
+def record(fields, block, version="WARC/1.0", eol="\r\n", length=None):
+    lines = [version, *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(block) if length is None else length}", ""]
+    return eol.join([*lines, ""]).encode() + block + (eol * 2).encode()
+
+
+SEPARATED = b"<p>a page\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nWARC/1.1\r\nmore of it"
+FILES = [
+    record([("WARC-Type", "warcinfo")], b"about"),
+    record([("WARC-Type", "response"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>"), ("warc-concurrent-to", "<c>"), ("Folded", "one\r\n two")], SEPARATED, "WARC/1.1"),
+    record([("WARC-Type", "resource")], b""),
+    record([("WARC-Type", "resource")], bytes(range(256)) * 20, "WARC/1.1"),
+    record([("WARC-Type", "metadata")], b"plain line ends", eol="\n"),
+    record([("WARC-Type", "resource")], b"WARC/1.0\r\n" * 50),
+]
+
+
+def expected(parts=FILES):
+    blocks = [b"about", SEPARATED, b"", bytes(range(256)) * 20, b"plain line ends", b"WARC/1.0\r\n" * 50]
+    return blocks[: len(parts)]
+
+
+def test_reader_obeys_lengths_wherever_files_are_split(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.warc").write_bytes(b"".join(FILES))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, FILES)))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    for size in ("64", "333", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = W.read_warc(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for name in ("a.warc", "members.warc.gz"):
+            got = sorted((r for r in rows if r["file"].endswith(name)), key=lambda r: r["record"])
+            assert [bytes(r["content"]) for r in got] == expected() and [r["version"] for r in got] == ["WARC/1.0", "WARC/1.1", "WARC/1.0", "WARC/1.1", "WARC/1.0", "WARC/1.0"]
+            assert [tuple(f) for f in got[1]["fields"]][:5] == [("WARC-Type", "response"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>"), ("warc-concurrent-to", "<c>"), ("Folded", "one two")]
+            assert got[1]["headers"]["WARC-Concurrent-To"] == "<a>" and not any(r["truncated"] for r in got)
+        assert len(rows) == 12
+
+
+def test_reader_goes_on_after_damage(spark, tmp_path):
+    bad = [record([("WARC-Type", "resource")], b"wrong length", length=5000), record([("WARC-Type", "resource")], b"no length").replace(b"Content-Length: 9\r\n", b""), FILES[0], record([("WARC-Type", "resource")], b"short", length=99)]
+    (tmp_path / "b.warc").write_bytes(b"rubbish before\r\n\r\n" + b"".join(bad[1:]))
+    got = sorted(W.read_warc(spark, str(tmp_path / "b.warc")).collect(), key=lambda r: r["record"])
+    assert [r["block"] for r in got][:2] == ["no length", "about"] and [r["truncated"] for r in got] == [False, False, True] and got[2]["block"].startswith("short")
+    (tmp_path / "c.warc").write_bytes(b"".join(bad[:1]) + b"x" * 4984 + b"\r\n\r\n" + FILES[0])
+    assert [r["truncated"] for r in W.read_warc(spark, str(tmp_path / "c.warc")).collect()] == [False, False]
+
+
+def test_read_responses_are_derived(spark, tmp_path):
+    head = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Twice: 1\r\nX-Twice: 2"
+    page = "<title>Gone\r\n\r\n</title><a href='http://else.where/'>it's gone, süß</a>".encode()
+    own = [("WARC-Type", "response"), ("warc-record-id", "<urn:uuid:r>"), ("WARC-Target-URI", "http://x.org/"), ("WARC-Date", "2020-02-02T00:00:00Z")]
+    (tmp_path / "r.warc").write_bytes(FILES[0] + record(own, head + b"\r\n\r\n" + page, "WARC/1.1") + record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:s>")], b"HTTP/1.1 204 No Content"))
+    got = {(r["refers_to"], r["warc_type"]): r for r in W.derive(W.responses_of(W.read_warc(spark, str(tmp_path / "r.warc")))).collect()}
+    assert len(got) == 4
+    meta = json.loads(got["<urn:uuid:r>", "metadata"]["block"])["Envelope"]
+    assert meta["HTTP-Response"]["Status"] == "HTTP/1.1 404 Not Found" and ["X-Twice", "2"] in meta["HTTP-Response"]["Headers"] and meta["WARC-Header"]["WARC-Date"] == "2020-02-02T00:00:00Z"
+    assert "süß" in got["<urn:uuid:r>", "conversion"]["block"] and got["<urn:uuid:s>", "conversion"]["block"] == ""
