@@ -173,11 +173,9 @@ def field(records: DataFrame, name: str) -> Column:
 def responses_of(records: DataFrame) -> DataFrame:
     """The response records of `read_warc` as `warc.derive` takes them: HTTP head and payload parted; page_id is null."""
     found = records.filter(field(records, "WARC-Type") == "response")
-    end = F.expr("position(X'0D0A0D0A' IN content)")
-    head = F.when(end > 0, F.expr("substring(content, 1, position(X'0D0A0D0A' IN content) - 1)")).otherwise(F.col("content"))
-    payload = F.when(end > 0, F.expr("substring(content, position(X'0D0A0D0A' IN content) + 4)")).otherwise(F.lit("").cast("binary"))
-    text = lambda c: F.make_valid_utf8(c.cast("string"))
+    head = F.substring_index("block", "\r\n\r\n", 1)
+    payload = F.substring("block", F.char_length(head) + 5, F.char_length("block"))
     return found.select(
         F.lit(None).cast("long").alias("page_id"), field(found, "WARC-Record-ID").alias("record_id"), field(found, "WARC-Target-URI").alias("target_uri"),
-        field(found, "WARC-Date").alias("warc_date"), text(head).alias("http_head"), text(payload).alias("payload"),
+        field(found, "WARC-Date").alias("warc_date"), head.alias("http_head"), payload.alias("payload"),
     )
