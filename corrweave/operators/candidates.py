@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
+from corrweave.operators.setjoin import named, not_contained
 
 
 def split_connected(ids: list[int], ends: list[tuple[int, int]]) -> list[list[int]]:
@@ -51,16 +52,9 @@ def candidates(cliques: DataFrame, edges: DataFrame, min_den: float) -> DataFram
 
 
 def maximal_only(sets: DataFrame) -> DataFrame:
-    """Sets with more than one edge that are part of no other.
-
-    Only sets that share their smallest edge with another can be part of it,
-    so the anti-join has an equality to work on.
-    """
-    many = sets.filter(F.size("edges") > 1).select("edges").distinct()
-    holders = many.select(F.col("edges").alias("other"), F.explode("edges").alias("e"))
-    small = many.withColumn("e", F.array_min("edges"))
-    inside = (small["e"] == holders["e"]) & (F.size("edges") < F.size("other")) & S.contained(F.col("edges"), F.col("other"))
-    return small.join(holders, inside, "left_anti").select("edges", F.size("edges").alias("n_edges"))
+    """Sets with more than one edge that are part of no other."""
+    many = named(sets.filter(F.size("edges") > 1))
+    return not_contained(many, many, strict=True).select("edges", F.size("edges").alias("n_edges"))
 
 
 def overlaps(sets: DataFrame) -> DataFrame:

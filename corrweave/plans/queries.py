@@ -20,13 +20,14 @@ from corrweave.operators import components as comp
 from corrweave.operators import correlate as cor
 from corrweave.operators import cores
 from corrweave.operators import density as den
-from corrweave.operators import existence, setjoin
+from corrweave.operators import existence, reach, setjoin
 from corrweave.operators.lattice import classify
 from corrweave.operators.peel import Rules
 from corrweave.plans import mine as M
 from corrweave.plans import mining_sql as W
 from corrweave.plans import views
 from corrweave.session import cut, shared_dir
+from corrweave.sources import edits
 from corrweave.sources import graph as G
 from corrweave.sources import results as R
 
@@ -171,6 +172,57 @@ def correlation_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cor.degrees(_pairs(_bursts(spark, sf_dir)))
 
 
+def _hops(spark: SparkSession, sf_dir: str, busy: bool) -> DataFrame:
+    edges = _bursts(spark, sf_dir)
+    links = cut(_pairs(edges)).select(F.col("e1").alias("a"), F.col("e2").alias("b"))
+    sources = comp.components(links).select(F.col("component").alias("source")).distinct()
+    allowed = None
+    if busy:
+        mean = edges.agg(F.avg("support")).first()[0] or 0.0
+        allowed = edges.filter(F.col("support") >= mean).select(F.col("edge_id").alias("node"))
+    return reach.reachable(links, sources, allowed).select("source", F.col("node").alias("edge_id"), "hops")
+
+
+def correlation_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops in the correlation graph from the least edge of each component."""
+    return _hops(spark, sf_dir, busy=False)
+
+
+def correlation_hops_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `correlation_hops`, by edges of at least the mean support alone."""
+    return _hops(spark, sf_dir, busy=True)
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The bursts, and changes to them: stricter bursts for some edges, labels, and new edges for trade within a nation."""
+    trade = cut(G.nation_trade(spark, sf_dir))
+    first = trade.first()
+    own = G.bursts(G.edges_from_long(G.nation_cells(spark, sf_dir, loops=True), len(first["series"]) if first else 0, weighted=True))
+    strict = G.bursts(trade.filter("edge_id % 5 = 0"), 2, 1)
+    none = {c: F.lit(None).cast(t) for c, t in (("edge_id", "long"), ("src", "long"), ("dst", "long"), ("label", "int"), ("series", "array<double>"))}
+    row = lambda seq, op, **x: [F.lit(seq).cast("long") + F.col("edge_id"), F.lit(op), *(x.get(c, none[c]) for c in none)]
+    parts = [
+        strict.select(*row(0, "series", edge_id=F.col("edge_id"), series=F.col("series"))),
+        trade.filter("edge_id % 3 = 0").select(*row(1000, "label", edge_id=F.col("edge_id"), label=F.lit(2))),
+        trade.filter("edge_id % 6 = 0").select(*row(2000, "label", edge_id=F.col("edge_id"), label=F.lit(3))),
+        own.select(*row(3000, "add", src=F.col("src"), dst=F.col("dst"), series=F.col("series"))),
+    ]
+    changes = parts[0]
+    for p in parts[1:]:
+        changes = changes.union(p)
+    return G.bursts(trade), cut(changes.toDF("seq", "op", *none))
+
+
+def edited_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph after a table of changes."""
+    return _listed(edits.apply_changes(*_edits(spark, sf_dir)))
+
+
+def edited_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, changes = _edits(spark, sf_dir)
+    return edits.apply_to_incidence(G.incidence(edges), edges, changes)
+
+
 def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The core number of each edge in the correlation graph."""
     return cores.core_numbers(cut(_pairs(_bursts(spark, sf_dir))))
@@ -526,6 +578,31 @@ rs AS (
 """
 
 
+def _hops_sql(allowed: str) -> tuple[str, str]:
+    """`hop`: after 40 steps, the least hops from each component's least edge to the edges that it reaches."""
+    reach = "near_(u, v) AS (SELECT u, u FROM adj UNION SELECT r.u, a.v FROM near_ r JOIN adj a ON a.u = r.v),\nhead AS (SELECT DISTINCT source FROM (SELECT u, min(v) AS source FROM near_ GROUP BY u))"
+    met = f"SELECT source, v AS edge_id, hops + 1 AS hops FROM hop JOIN adj ON u = edge_id WHERE i < 40 AND {allowed}"
+    step = f"SELECT (SELECT max(i) FROM hop) + 1, source, edge_id, min(hops) FROM (SELECT source, edge_id, hops FROM hop WHERE i < 40 UNION ALL {met}) GROUP BY source, edge_id"
+    return reach, f"hop(i, source, edge_id, hops) AS (SELECT 0, source, source, CAST(0 AS BIGINT) FROM head UNION ALL {step})"
+
+
+_EDITED = """
+own_cell AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS node, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS BIGINT) AS t, CAST(count(*) AS BIGINT) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey = s_nationkey GROUP BY ALL
+), own AS (SELECT node, CAST((SELECT count(*) FROM ends) + row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS edge_id, sum(w) AS total FROM own_cell GROUP BY node),
+after_ AS (
+  SELECT edge_id, src, dst, CAST(CASE WHEN edge_id % 6 = 0 THEN 3 WHEN edge_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS label, t,
+         CASE WHEN w > 0 AND CASE WHEN edge_id % 5 = 0 THEN w * n >= 2 * total ELSE 2 * w * n >= 3 * total END THEN 1 ELSE 0 END AS alive
+  FROM grid JOIN ends USING (edge_id), span
+  UNION ALL
+  SELECT edge_id, node, node, 1, g.t, CASE WHEN w > 0 AND 2 * w * n >= 3 * total THEN 1 ELSE 0 END
+  FROM (SELECT *, unnest(range(0, n)) AS t FROM own, span) g LEFT JOIN own_cell USING (node, t)
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     codes, lsh = _hash_sql()
     graph = (_PAIRS, _CLIQUES)
@@ -537,6 +614,7 @@ def oracle_sql() -> dict[str, str]:
     approximate = run(CONFIG, *lsh_parts, near, _CLIQUES, _TABLE, _CM)
     mined = run(CONFIG)
     weighted = (_DENSE_W, _MOMENTS, f"pairs AS (SELECT e1, e2, r FROM rs WHERE r >= {MIN_COR}), adj AS (SELECT e1 AS u, e2 AS v FROM pairs UNION ALL SELECT e2, e1 FROM pairs)", _CLIQUES, _TABLE, _CM)
+    hops = "FROM hop WHERE i = 40"
     accepted = "SELECT edges, n_edges, density, origin FROM found"
     extracted = "SELECT DISTINCT array_to_string(es, ',') AS edges, round(d, 6) AS density FROM lat WHERE d IS NOT NULL"
     viewed = (*mined, _VIEWS)
@@ -599,6 +677,10 @@ def oracle_sql() -> dict[str, str]:
             "ids AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS id, node FROM (SELECT node, min(place) AS place FROM (SELECT src AS node, 2 * edge_id AS place FROM ends UNION ALL SELECT dst, 2 * edge_id + 1 FROM ends) GROUP BY node))",
         ),
         "correlation_degree": _sql("SELECT u AS edge_id, CAST(count(*) AS BIGINT) AS degree FROM adj GROUP BY u", _PAIRS),
+        "correlation_hops": _sql(f"SELECT source, edge_id, hops {hops}", _PAIRS, *_hops_sql("true")),
+        "correlation_hops_busy": _sql(f"SELECT source, edge_id, hops {hops}", _PAIRS, *_hops_sql("v IN (SELECT edge_id FROM edges WHERE support >= (SELECT avg(support) FROM edges))")),
+        "edited_edges": _sql("SELECT edge_id, src, dst, label, CAST(sum(alive) AS BIGINT) AS support, string_agg(CAST(alive AS VARCHAR), ',' ORDER BY t) AS series FROM after_ GROUP BY ALL", _DENSE_W, _EDITED),
+        "edited_incidence": _sql("SELECT unnest([src, dst]) AS node, edge_id FROM (SELECT DISTINCT edge_id, src, dst FROM after_)", _DENSE_W, _EDITED),
         "core_numbers": _sql(
             "SELECT u AS edge_id, c AS core FROM core WHERE i = 60",
             _PAIRS,
@@ -656,7 +738,7 @@ WHERE c_nationkey <> s_nationkey GROUP BY ALL""",
 _QUERIES = (
     edge_series, edge_support_weighted, edge_snapshots, edge_zscore, node_dictionary, incidence, static_degree, snapshot_degree, snapshot_avg_degree,
     min_degree_node, pearson_pairs, pearson_pairs_dense, pearson_pairs_weighted, euclidean_pairs, minhash_codes, minhash_candidates, minhash_pairs,
-    edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, core_numbers, candidate_degrees, clique_check, graph_components,
+    edge_file_unlabeled, edge_file_labeled, edge_file_weighted, edge_file_encoded, correlation_degree, core_numbers, correlation_hops, correlation_hops_busy, edited_edges, edited_incidence, candidate_degrees, clique_check, graph_components,
     result_file, run_statistics, stage_counts, correlation_adjacency, correlation_components, maximal_cliques, candidate_components, candidate_connected, maximal_candidates, jaccard_pairs,
     candidate_nodes, k_edge_snapshots, min_density, avg_density, dense_direct_min, dense_direct_avg, dense_extracted, dense_extracted_min, dense_subgraphs_min,
     dense_subgraphs_avg, dense_subgraphs_diverse, dense_subgraphs_approximate, dense_subgraphs_apart, dense_subgraphs_single, dense_subgraphs_weighted,

@@ -109,15 +109,15 @@ def incidence(edges: DataFrame) -> DataFrame:
 # --- a graph from relational tables: trade between nations --------------------------------------------------------
 
 
-def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, t, w): line items between the nations of customer and supplier in a month."""
+def nation_cells(spark: SparkSession, sf_dir: str, loops: bool = False) -> DataFrame:
+    """(src, dst, t, w): line items between the nations of customer and supplier in a month; with `loops`, those within one nation instead."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders = read("orders").select("o_orderkey", "o_custkey", ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("t"))
     placed = orders.join(read("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     items = read("lineitem").select("l_orderkey", "l_suppkey").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     items = items.join(read("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     a, b = F.col("c_nationkey"), F.col("s_nationkey")
-    return items.filter(a != b).groupBy(F.least(a, b).cast("long").alias("src"), F.greatest(a, b).cast("long").alias("dst"), F.col("t").cast("int").alias("t")).agg(F.count(F.lit(1)).alias("w"))
+    return items.filter(a == b if loops else a != b).groupBy(F.least(a, b).cast("long").alias("src"), F.greatest(a, b).cast("long").alias("dst"), F.col("t").cast("int").alias("t")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,13 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges_from_long(cells, (n if n is not None else -1) + 1, weighted=True)
 
 
-def nation_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary graph: an edge is alive in months with at least 1.5 times its own mean."""
-    trade = nation_trade(spark, sf_dir)
+def bursts(trade: DataFrame, times: int = 3, parts: int = 2) -> DataFrame:
+    """The binary graph of a weighted one: an edge is alive in snapshots with at least times / parts of its own mean."""
     w, n = F.col("series"), F.size("series")
-    burst = S.let(3 * S.total(w), lambda bound: F.transform(w, lambda x: F.when((x > 0) & (2 * x * n >= bound), 1.0).otherwise(0.0)))
+    burst = S.let(times * S.total(w), lambda bound: F.transform(w, lambda x: F.when((x > 0) & (parts * x * n >= bound), 1.0).otherwise(0.0)))
     return trade.withColumn("series", burst).withColumn("support", S.support(F.col("series")))
+
+
+def nation_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary graph: an edge is alive in months with at least 1.5 times its own mean."""
+    return bursts(nation_trade(spark, sf_dir))
