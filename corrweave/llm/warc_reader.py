@@ -167,7 +167,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def field(records: DataFrame, name: str) -> Column:
     """The first value of a header field, told without case; null without it."""
-    return F.filter(records["fields"], lambda f: F.lower(f["name"]) == name.lower())[0]["value"]
+    return F.get(F.filter(records["fields"], lambda f: F.lower(f["name"]) == name.lower()), F.lit(0))["value"]
 
 
 def responses_of(records: DataFrame) -> DataFrame:
