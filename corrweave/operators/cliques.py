@@ -1,7 +1,8 @@
 """Maximal cliques of the correlation graph.
 
-Vertices are ordered by core number (an upper bound after a few rounds), then id,
-so that few neighbours come after a vertex, however many come before. The search
+Vertices are ordered by an upper bound of their core numbers (degrees after some
+rounds of h-indices), then id, so that few neighbours come after a vertex, however
+many come before. The search
 is cut into problems, one for each vertex at first: the cliques of which it is the
 first. A problem has its members, the later neighbours, with the members that
 each is paired with, and what excludes: for the earlier neighbours, which
@@ -23,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
-from corrweave.operators.cores import core_numbers
+from corrweave.operators.cores import core_numbers, h_indices
 from corrweave.operators.correlate import adjacency
 from corrweave.session import Scratch, cut
 
-#: Rounds of core numbers that the order takes; any order gives the same cliques.
-ORDER_ROUNDS = 2
+#: Rounds towards the core numbers that the order takes (None: all); any order gives the same cliques.
+ORDER_ROUNDS = 1
 PROBLEM_ROWS = 4096
 
 
@@ -91,10 +92,16 @@ def _of_problem(batch: pa.Table) -> pa.Table:
     return pa.table({"edges": pa.array(found, pa.list_(pa.int64()))})
 
 
-def _first_problems(pairs: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
+def _first_problems(pairs: DataFrame, scratch: Scratch, rounds: int | None) -> DataFrame:
     """The problem of each vertex that has later neighbours."""
-    cores = core_numbers(pairs, rounds)
-    end = lambda i: cores.select(F.col("edge_id").alias(f"e{i}"), F.struct(F.col("core").alias("c"), F.col("edge_id").alias("v")).alias(f"x{i}"))
+    if rounds is None:
+        cores = core_numbers(pairs).toDF("v", "c")
+    else:
+        adj = adjacency(pairs)
+        cores = adj.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        for _ in range(rounds):
+            cores = h_indices(adj, cores)
+    end = lambda i: cores.select(F.col("v").alias(f"e{i}"), F.struct("c", "v").alias(f"x{i}"))
     both = pairs.select("e1", "e2").join(end(1), "e1").join(end(2), "e2")
     later = scratch.keep(both.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")))
     wedges = later.join(later.select("a", F.col("b").alias("c")), "a").filter(F.col("b") < F.col("c"))
@@ -120,16 +127,18 @@ def _split(rows: DataFrame) -> DataFrame:
     return inner.unionByName(own)
 
 
-def maximal_cliques(pairs: DataFrame, problem_rows: int = PROBLEM_ROWS, rounds: int = ORDER_ROUNDS) -> DataFrame:
+def maximal_cliques(pairs: DataFrame, problem_rows: int = PROBLEM_ROWS, rounds: int | None = ORDER_ROUNDS) -> DataFrame:
     """`edges` (array<bigint>, ascending) of every maximal clique of the pairs (e1, e2); each has two vertices at least. A checkpoint."""
     scratch = Scratch(pairs.sparkSession, "cliques")
     rows, done = scratch.keep(_first_problems(scratch.keep(pairs.select("e1", "e2").distinct()), scratch, rounds)), []
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "p").alias("p"))
-        large = scratch.keep(sizes.filter((F.col("n") > problem_rows) & (F.col("p") > 1)).select("path"))
-        done.append(rows.join(large, "path", "left_anti"))
-        if not large.count():  # from the footers of a written table
+        large = sizes.filter((F.col("n") > problem_rows) & (F.col("p") > 1)).select("path")
+        if large.isEmpty():
+            done.append(rows)
             break
+        large = scratch.keep(large)
+        done.append(rows.join(large, "path", "left_anti"))
         rows = scratch.keep(_split(rows.join(large, "path", "left_semi")))
     out = done[0].select(*_PROBLEM)
     for more in done[1:]:

@@ -33,9 +33,9 @@ def core_numbers(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     while rounds is None or done < rounds:
         after = scratch.keep(h_indices(adj, values))
         done += 1
-        total = [x.agg(F.sum("c")).first()[0] for x in (values, after)]
+        total = [x.agg(F.sum("c")).first()[0] for x in (values, after)] if rounds is None else None
         values = after
-        if total[0] == total[1]:  # values only fall, so an equal sum is no change
+        if total and total[0] == total[1]:  # values only fall, so an equal sum is no change
             break
     out = cut(values.select(F.col("v").alias("edge_id"), F.col("c").alias("core")))
     scratch.clear()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corrweave.functions import series as S
 from corrweave.operators.dense import close_pairs
-from corrweave.session import Scratch, cut
+from corrweave.session import cut
 from corrweave.sources.graph import snapshots
 
 
@@ -144,20 +144,17 @@ def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_ru
     only pairs that reach min_cor are rows, and those that share such a code are kept.
     The result is the same for any `crowd`.
     """
-    scratch = Scratch(edges.sparkSession, "minhash")
     varied = edges.filter(F.array_min("series") < F.array_max("series"))
-    codes = scratch.keep(minhash_codes(varied, hash_funcs, hash_runs))
-    large = scratch.keep(codes.groupBy("run", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("run", "code"))
+    codes = cut(minhash_codes(varied, hash_funcs, hash_runs))
+    large = codes.groupBy("run", "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("run", "code")
+    if large.isEmpty():
+        return verify(_sharing(codes), edges, min_cor, weighted=weighted)
+    large = cut(large)
     found = verify(_sharing(codes.join(large, ["run", "code"], "left_anti")), edges, min_cor, weighted=weighted)
-    if large.count():
-        hot = scratch.keep(codes.join(large, ["run", "code"], "left_semi").select("edge_id", "run", "code"))
-        close = close_pairs(varied.join(hot.select("edge_id").distinct(), "edge_id", "left_semi"), min_cor, "pearson" if weighted else "binary")
-        one, two = hot.toDF("e1", "run", "code"), hot.toDF("e2", "run", "code")
-        kept = close.join(one, "e1").join(two, ["e2", "run", "code"]).select("e1", "e2", "r")
-        found = found.union(kept).dropDuplicates(["e1", "e2"])
-    out = cut(found)
-    scratch.clear()
-    return out
+    hot = codes.join(large, ["run", "code"], "left_semi").select("edge_id", "run", "code")
+    close = close_pairs(varied.join(hot.select("edge_id").distinct(), "edge_id", "left_semi"), min_cor, "pearson" if weighted else "binary")
+    kept = close.join(hot.toDF("e1", "run", "code"), "e1").join(hot.toDF("e2", "run", "code"), ["e2", "run", "code"]).select("e1", "e2", "r")
+    return found.union(kept).dropDuplicates(["e1", "e2"])
 
 
 def correlated_pairs(

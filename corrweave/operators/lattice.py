@@ -123,19 +123,15 @@ def classify(cands: DataFrame, edges: DataFrame, rules: Rules) -> DataFrame:
 
     Candidates are dealt to a fixed number of tasks by hash, and each task takes its largest first. The result is a checkpoint.
     """
-    scratch = Scratch(cands.sparkSession, "classes")
-    members = scratch.keep(with_members(cands, edges))
+    members = with_members(cands, edges)
     dealt = members.repartition(_tasks(cands.sparkSession), F.xxhash64("k")).sortWithinPartitions(F.size("m").desc(), "k")
-    looked = scratch.keep(dealt.mapInArrow(_classes(rules), CLASSES))
-    result = looked
+    looked = cut(dealt.mapInArrow(_classes(rules), CLASSES))
     opened = looked.filter(F.col("class") == "open")
-    if not opened.isEmpty():
-        states = opened.select("k", F.explode("left").alias("s")).select("k", "s.level", "s.mask")
-        found = frontier(states, members.join(opened.select("k"), "k"), rules)
-        more = found.groupBy("k").agg(F.collect_list(F.struct("edges", "density")).alias("more"))
-        both = looked.join(more, "k", "left").withColumn("sets", F.concat("sets", F.coalesce("more", F.lit(None).cast(SETS), F.array().cast(SETS))))
-        kind = F.when(F.col("class") != "open", F.col("class")).when(F.size("sets") > 0, "extracted").otherwise("pruned")
-        result = both.withColumn("class", kind)
-    out = cut(result.select("cand", "class", "sets"))
-    scratch.clear()
-    return out
+    if opened.isEmpty():
+        return looked.select("cand", "class", "sets")
+    states = opened.select("k", F.explode("left").alias("s")).select("k", "s.level", "s.mask")
+    found = frontier(states, cut(members.join(opened.select("k"), "k", "left_semi")), rules)
+    more = found.groupBy("k").agg(F.collect_list(F.struct("edges", "density")).alias("more"))
+    both = looked.join(more, "k", "left").withColumn("sets", F.concat("sets", F.coalesce("more", F.array().cast(SETS))))
+    kind = F.when(F.col("class") != "open", F.col("class")).when(F.size("sets") > 0, "extracted").otherwise("pruned")
+    return cut(both.select("cand", kind.alias("class"), "sets"))

@@ -26,9 +26,8 @@ from corrweave.operators.setjoin import contained_pairs, not_contained, similar_
 from corrweave.session import Scratch, cut
 
 
-def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """The items (k) that stay if each one, in an order that every row (early, late) of `conflicts` follows, excludes its later ones. A checkpoint."""
-    scratch = Scratch(items.sparkSession, "choice")
+def first_come(items: DataFrame, conflicts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The items (k) that stay if each one, in an order that every row (early, late) of `conflicts` follows, excludes its later ones; tables of the rounds are in `scratch`."""
     left = scratch.keep(conflicts.select("early", "late").distinct())
     kept = items.select("k")
     while left.count():  # from the footers of a written table
@@ -37,9 +36,7 @@ def first_come(items: DataFrame, conflicts: DataFrame) -> DataFrame:
         kept = kept.join(gone, "k", "left_anti")
         undecided = left.join(gone, F.col("early") == F.col("k"), "left_anti").join(gone, F.col("late") == F.col("k"), "left_anti")
         left = scratch.keep(undecided)
-    out = cut(kept)
-    scratch.clear()
-    return out
+    return kept
 
 
 def _in_order(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -55,13 +52,13 @@ def _first(sets: DataFrame) -> DataFrame:
 
 
 def diverse(classified: DataFrame, max_cc_size: int, max_jac: float) -> DataFrame:
-    """The accepted sets of (cand, class, sets): edges, n_edges, density, origin ("direct" or "extracted"). A checkpoint."""
+    """The accepted sets of (cand, class, sets): edges, n_edges, density, origin ("direct" or "extracted"). A checkpoint; `classified` is read several times."""
     scratch = Scratch(classified.sparkSession, "diverse")
     fit = classified.filter((F.size("cand") < max_cc_size) & (F.size("sets") > 0))
-    live = scratch.keep(fit.select(S.set_text(F.col("cand")).alias("k"), F.array_sort("cand").alias("edges"), "class", "sets"))
+    live = fit.select(S.set_text(F.col("cand")).alias("k"), F.array_sort("cand").alias("edges"), "class", "sets")
     direct = live.filter(F.col("class") == "direct").select("k", "edges", F.col("sets")[0]["density"].alias("density"))
     made = live.filter(F.col("class") == "extracted").select(F.col("k").alias("owner"), F.explode("sets").alias("s"))
-    parts = scratch.keep(made.select("owner", S.set_text(F.col("s.edges")).alias("k"), F.array_sort("s.edges").alias("edges"), "s.density"))
+    parts = made.select("owner", S.set_text(F.col("s.edges")).alias("k"), F.array_sort("s.edges").alias("edges"), "s.density")
     cands, one = live.select("k", "edges"), max_jac <= 0
     near = 0 < max_jac < 1  # similarity 1 means equal, which inclusion covers
 
@@ -74,7 +71,7 @@ def diverse(classified: DataFrame, max_cc_size: int, max_jac: float) -> DataFram
     if near:
         similar = _in_order(similar_pairs(cands, bound=max_jac), cands)
         conflicts = conflicts.union(similar.join(direct.select("k"), F.col("early") == F.col("k"), "left_semi"))
-    passing = first_come(cands, conflicts)
+    passing = first_come(cands, conflicts, scratch)
 
     accepted = scratch.keep(direct.join(passing, "k", "left_semi"))
     loose = parts.join(passing.select(F.col("k").alias("owner")), "owner", "left_semi").dropDuplicates(["k"]).select("k", "edges", "density")
@@ -90,7 +87,7 @@ def diverse(classified: DataFrame, max_cc_size: int, max_jac: float) -> DataFram
         inner = contained_pairs(free, free).filter("k1 <> k2").select(F.col("k2").alias("early"), F.col("k1").alias("late"))
         if near:
             inner = inner.union(_in_order(similar_pairs(free, bound=max_jac), free))
-        chosen = loose.join(first_come(free, inner), "k", "left_semi")
+        chosen = loose.join(first_come(free, inner, scratch), "k", "left_semi")
         both = accepted.withColumn("origin", F.lit("direct")).unionByName(chosen.withColumn("origin", F.lit("extracted")))
         out = both.select("edges", F.size("edges").alias("n_edges"), "density", "origin")
     out = cut(out)

@@ -42,7 +42,7 @@ def rare_first(sets: DataFrame, *others: DataFrame) -> DataFrame:
 
 def _parts(inner: DataFrame, outer: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
     """Both sides, and the condition under which a row of `inner` is part of one of `outer`."""
-    a = rare_first(inner, outer).select("k", "edges", "n", F.col("rare")[0].alias("e"), signature(F.col("edges")).alias("sig"))
+    a = rare_first(inner, outer).select("k", "edges", "n", F.get("rare", F.lit(0)).alias("e"), signature(F.col("edges")).alias("sig"))
     b = outer.select(F.col("k").alias("k2"), F.col("edges").alias("edges2"), F.size("edges").alias("n2"), signature(F.col("edges")).alias("sig2"), F.explode("edges").alias("e2"))
     within = (F.col("e") == F.col("e2")) & (F.col("n") <= F.col("n2")) & (F.col("sig").bitwiseAND(F.bitwise_not("sig2")) == 0) & S.contained(F.col("edges"), F.col("edges2"))
     return a, b, within
@@ -78,7 +78,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, bound: float
     sizes = (F.col("n1") >= F.col("n2") * bound - 1e-9) & (F.col("n2") >= F.col("n1") * bound - 1e-9)
     both = a.join(b, (F.col("e1") == F.col("e2")) & sizes & (F.lit(True) if right is not None else F.col("k1") < F.col("k2")))
     # A pair meets at each edge that both prefixes hold; the first of them counts.
-    once = both.filter(F.col("e1") == F.array_intersect("pre1", "pre2")[0])
+    once = both.filter(F.col("e1") == F.get(F.array_intersect("pre1", "pre2"), F.lit(0)))
     shared = F.size(F.array_intersect("edges1", "edges2"))
     scored = once.select("k1", "k2", (shared / (F.col("n1") + F.col("n2") - shared)).alias("jaccard"))
     return scored.filter(F.col("jaccard") >= bound)

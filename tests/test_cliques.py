@@ -56,17 +56,17 @@ def test_a_hub_is_many_rows(spark):
 
 @pytest.mark.parametrize(("rows", "rounds"), [(4096, 2), (0, 1), (3, 0), (6, None)])
 def test_cliques_against_brute_force(spark, rows, rounds):
-    for g in (p for p in [sum(graphs(), [])]):
+    for g in [sum(graphs(), [])]:
         expected = set().union(*(brute.cliques(set(x)) for x in graphs()))
         assert found(cliq.maximal_cliques(pairs_of(spark, g), rows, rounds)) == expected
 
 
 def test_hubs_are_split(spark):
     """A hub before many and after many: all of its cliques, and no problem beyond the bound in one group."""
-    rim = [(1 + i, 1 + (i + 1) % 3000) for i in range(3000)]
-    pairs = [(0, 1 + i) for i in range(3000)] + rim
+    rim = [(1 + i, 1 + (i + 1) % 400) for i in range(400)]
+    pairs = [(0, 1 + i) for i in range(400)] + rim
     got = found(cliq.maximal_cliques(pairs_of(spark, pairs), problem_rows=50))
     assert got == {tuple(sorted((0, *p))) for p in rim}
-    blob = [(10_000 + a, 10_000 + b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 5]
+    blob = [(10_000 + a, 10_000 + b) for a in range(14) for b in range(a + 1, 14) if (a + b) % 5]
     whole = found(cliq.maximal_cliques(pairs_of(spark, blob)))
-    assert found(cliq.maximal_cliques(pairs_of(spark, blob), problem_rows=8)) == whole and len(whole) > 30
+    assert found(cliq.maximal_cliques(pairs_of(spark, blob), problem_rows=8)) == whole and len(whole) > 5
