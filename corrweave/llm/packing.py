@@ -522,9 +522,10 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, sa
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, nodes: int = NODES, steps: int = STEPS
 ) -> DataFrame:
-    return pack(cut(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    """The pieces of every document with `sequence_id` and `offset`; `nodes` and `steps` bound the search."""
+    return pack(cut(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity, nodes, steps=steps)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
