@@ -11,7 +11,7 @@ class MineConfig:
     """min_cor: least Pearson r of every two edges; min_den: least density; density: "min" or "avg" average degree
     over the snapshots with min_edges_in_snap edges; max_cc_size and max_jac: exclusive bounds of a result's edges
     and of two results' Jaccard similarity; exact or by hash_runs bands of hash_funcs min-hashes; spread: join keys
-    for each snapshot, for graphs with crowded ones."""
+    for each snapshot, for graphs with crowded ones (0: by counting)."""
 
     path: str = ""
     output: str = ""
@@ -28,7 +28,7 @@ class MineConfig:
     max_cc_size: int = 100
     max_jac: float = 0.0
     prune: bool = True
-    spread: int = 1
+    spread: int = 0
 
 
 #: Command-line keys and the fields they set.

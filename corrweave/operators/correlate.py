@@ -25,18 +25,26 @@ def _binary_r(n: Column, sx: Column, sy: Column, sxy: Column) -> Column:
     return (n * sxy - sx * sy) / F.sqrt(((n * sx - sx * sx) * (n * sy - sy * sy)).cast("double"))
 
 
-def sparse_pairs(edges: DataFrame, min_cor: float, spread: int = 1) -> DataFrame:
+#: Pairs that one join key of the sparse search makes, at most.
+KEY_PAIRS = 4_000_000
+
+
+def sparse_pairs(edges: DataFrame, min_cor: float, spread: int = 0) -> DataFrame:
     """Pairs of a binary graph with r >= min_cor > 0.
 
     For 0/1 series a positive r needs a shared snapshot, so an equi-join on
     the snapshot loses nothing; constant series (r undefined) go before it.
     `spread` deals one snapshot's edges to so many join keys: one side by
-    edge_id, the other copied to each.
+    edge_id, the other copied to each. Without it, the most crowded snapshot is
+    counted, and no key makes more than KEY_PAIRS pairs.
     """
     if not min_cor > 0:
         raise ValueError("the sparse search needs min_cor > 0; use dense_pairs")
     act = _active(edges)
     snap = act.select("edge_id", "n", "s", F.explode(S.alive(F.col("series"))).alias("t"))
+    if spread < 1:
+        crowd = snap.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+        spread = max(1, -(-crowd * crowd // KEY_PAIRS))
     a = snap.select(F.col("edge_id").alias("e1"), F.col("s").alias("s1"), "n", "t", F.pmod("edge_id", F.lit(spread)).cast("int").alias("k"))
     b = snap.select(F.col("edge_id").alias("e2"), F.col("s").alias("s2"), "t")
     b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))) if spread > 1 else b.withColumn("k", F.lit(0))
@@ -158,7 +166,7 @@ def minhash_pairs(edges: DataFrame, min_cor: float, hash_funcs: int = 5, hash_ru
 
 
 def correlated_pairs(
-    edges: DataFrame, min_cor: float, exact: bool = True, weighted: bool = False, hash_funcs: int = 5, hash_runs: int = 2, spread: int = 1
+    edges: DataFrame, min_cor: float, exact: bool = True, weighted: bool = False, hash_funcs: int = 5, hash_runs: int = 2, spread: int = 0
 ) -> DataFrame:
     """Pairs with Pearson's r >= min_cor, by the plan that fits the graph."""
     if not exact:

@@ -87,3 +87,12 @@ def test_crowded_codes_give_the_same_pairs(spark, weights):
     assert listed.keys() == crowded.keys() and all(abs(listed[p] - crowded[p]) < 1e-9 for p in listed) and len(listed) > 500
     exact = brute.pairs(series, 0.5)
     assert crowded.keys() <= exact.keys()
+
+
+def test_crowded_snapshots_are_spread(spark, monkeypatch):
+    rnd = random.Random(8)
+    series = {e: [rnd.randint(0, 1) for _ in range(8)] for e in range(70)}
+    edges = table(spark, {e: (e, e + 1) for e in series}, series)
+    whole = rows(cor.sparse_pairs(edges, 0.4, spread=1))
+    monkeypatch.setattr(cor, "KEY_PAIRS", 100)
+    assert rows(cor.sparse_pairs(edges, 0.4)) == whole
