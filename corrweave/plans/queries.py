@@ -6,7 +6,6 @@ compare them alike; measured values are rounded to six places.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ from corrweave.operators.peel import Rules
 from corrweave.plans import mine as M
 from corrweave.plans import mining_sql as W
 from corrweave.plans import views
-from corrweave.session import cut, shared_dir
+from corrweave.session import Scratch, cut
 from corrweave.sources import edits
 from corrweave.sources import graph as G
 from corrweave.sources import results as R
@@ -57,9 +56,11 @@ def edge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(spark: SparkSession, edges: DataFrame, labeled: bool = False, weighted: bool = False) -> DataFrame:
     """Edges written as an edge-list file and read again."""
-    path = f"{shared_dir(spark)}/corrweave/edges-{uuid.uuid4().hex}"
-    R.write_edge_list(edges, path, labeled)
-    return G.read_edge_list(spark, path, labeled, weighted)
+    scratch = Scratch(spark, "edges")
+    R.write_edge_list(edges, scratch.path, labeled)
+    out = cut(G.read_edge_list(spark, scratch.path, labeled, weighted))
+    scratch.clear()
+    return out
 
 
 def _listed(edges: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def edge_file_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_file_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loaded file: nodes by their dense ids."""
-    return M.encode_nodes(cut(_round_trip(spark, _bursts(spark, sf_dir)))).select("edge_id", "src", "dst")
+    return M.encode_nodes(_round_trip(spark, _bursts(spark, sf_dir))).select("edge_id", "src", "dst")
 
 
 def edge_support_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,17 +441,20 @@ def result_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the result file of the flagship run."""
-    path = f"{shared_dir(spark)}/corrweave/result-{uuid.uuid4().hex}"
-    R.write_results(M.mine(_bursts(spark, sf_dir), CONFIG), path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    scratch = Scratch(spark, "result")
+    R.write_results(M.mine(_bursts(spark, sf_dir), CONFIG), scratch.path)
+    out = cut(spark.read.text(scratch.path).select(F.col("value").alias("line")))
+    scratch.clear()
+    return out
 
 
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics row of the flagship run, without its time and duration."""
-    path = f"{shared_dir(spark)}/corrweave/statistics-{uuid.uuid4().hex}"
-    found = cut(M.mine(_bursts(spark, sf_dir), CONFIG))
-    R.append_statistics(spark, CONFIG, 0.0, found.count(), path)
-    return R.read_statistics(spark, path).drop("at", "seconds", "lsh")
+    scratch = Scratch(spark, "statistics")
+    R.append_statistics(spark, CONFIG, 0.0, M.mine(_bursts(spark, sf_dir), CONFIG).count(), scratch.path)
+    out = cut(R.read_statistics(spark, scratch.path).drop("at", "seconds", "lsh"))
+    scratch.clear()
+    return out
 
 
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
