@@ -1,4 +1,11 @@
-"""Near copies: all pairs of texts with a five-word Jaccard similarity of at least `THRESHOLD`, by prefix and positional filtering.
+"""Near copies by SimHash, checked exactly, with an exact search for those that two bits miss.
+
+Two texts are near copies if their five-word Jaccard similarity is at least
+`THRESHOLD`; components of near copies are the groups. First each text's SimHash
+fingerprint goes through the grid of `simhash`, and what it links (equal, or at
+most two bits apart) is verified by the whole shingle sets. Near copies may
+differ in more bits, so the pairs between different components of these links
+are then found by prefix and positional filtering:
 
 Put all shingles in one order. If the sets of a pair, the smaller of m and the
 larger of n shingles, have a similarity of the threshold t, they share
@@ -17,8 +24,8 @@ pair may have m + n - 2 need. Candidates that pass this bound too are verified
 by the whole sets.
 
 Hashes that more than `CROWD` sets share form no pairs at first: `PIVOTS` sets
-of each such crowd are verified against all others, and what is linked becomes
-one component. Pairs within a component need no test, as only the components
+of each such crowd are verified against those of other components, and what is
+linked becomes one component. Pairs within a component need no test, as only the components
 count. Then the sets of a hash outside its largest component are paired with
 all of its sets, so a crowd that has become one component costs its size times
 the few that stand apart, and no pair of different components is left out. Texts stay where
@@ -47,7 +54,8 @@ from pyspark.sql import functions as F
 from corrweave.operators.components import representatives
 
 from .common import cut, small
-from .simhash import keep_one, text_hash
+from .simhash import fingerprint, keep_one, text_hash
+from .simhash import links as grid_links
 
 SHINGLE = 5
 #: As a fraction, so that counts compare exactly.
@@ -159,9 +167,9 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, s (hash of the set), n (its size), its parities, and the prefix in order.
+    """doc_id, text_hash, s (hash of the set), n (its size), its parities, the text's SimHash fingerprint, and the prefix in order.
 
-    A set that a task met before has no prefix there.
+    A set that a task met before has no fingerprint and no prefix there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -169,22 +177,26 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         counts = shared.value
         for b in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             odd = []
             for t in b.column(2):
-                h = shingles(t.as_py() or "")
+                text = t.as_py() or ""
+                h = shingles(text)
                 s = int(np.uint64(xxhash.xxh64_intdigest(h)).view(np.int64))
-                first = None if s in seen else h[np.lexsort((h, counts[slots(h)]))[: prefix_length(len(h))]]
+                fp = first = None
+                if s not in seen:
+                    fp = int(np.uint64(fingerprint(text)).view(np.int64))
+                    first = h[np.lexsort((h, counts[slots(h)]))[: prefix_length(len(h))]]
                 seen.add(s)
                 odd.append(parities(h))
-                for col, value in zip(out, (s, len(h), first), strict=True):
+                for col, value in zip(out, (s, len(h), fp, first), strict=True):
                     col.append(value)
             bits = np.array(odd, dtype=np.int64).reshape(-1, len(PARITY)).T
-            cols = [*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(np.ascontiguousarray(c)) for c in bits), pa.array(out[2], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "s", "n", *PARITY, "prefix"])
+            cols = [*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(np.ascontiguousarray(c)) for c in bits), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "text_hash", "s", "n", *PARITY, "fp", "prefix"])
 
     kinds = ", ".join(f"{p} bigint" for p in PARITY)
-    return _slim(docs).mapInArrow(run, f"doc_id bigint, text_hash bigint, s bigint, n bigint, {kinds}, prefix array<bigint>")
+    return _slim(docs).mapInArrow(run, f"doc_id bigint, text_hash bigint, s bigint, n bigint, {kinds}, fp bigint, prefix array<bigint>")
 
 
 def shared_hashes(prints: DataFrame) -> DataFrame:
@@ -254,39 +266,59 @@ def _may_match(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column
     return (x("n") - x("i") >= need) & (y("n") - y("i") >= need) & (apart <= x("n") + y("n") - 2 * need)
 
 
+def fingerprint_links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Verified pairs of sets whose fingerprints are equal or linked by the grid.
+
+    The sets of one fingerprint are paired with the least of them, and the least ones stand for linked fingerprints.
+    """
+    fps = cut(prints.filter(F.col("fp").isNotNull()).select("fp", "s").distinct())
+    least = fps.groupBy("fp").agg(F.min("s").alias("m"))
+    same = fps.join(least, "fp").select(F.col("m").alias("a"), F.col("s").alias("b"))
+    near = grid_links(least.select("fp")).join(least.toDF("a", "ma"), "a").join(least.toDF("b", "mb"), "b")
+    pairs = same.union(near.select("ma", "mb")).filter("a <> b")
+    return verified(docs, prints, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def pivot_links(docs: DataFrame, prints: DataFrame, big: DataFrame) -> DataFrame:
-    """Verified pairs of `PIVOTS` sets of each crowded hash with the others that have it.
+    """Verified pairs of `PIVOTS` sets of each crowded hash with the others that have it and stand in other components (c).
 
     The pivots come from one order for each seed that doesn't depend on the hash, so hashes of one crowd have the same ones.
     """
-    pivot = big.groupBy("h").agg(*[F.min_by(F.struct(*OWN), F.struct(F.xxhash64(F.lit(seed), "s"), F.col("s"))).alias(f"p{seed}_") for seed in range(PIVOTS)])
+    pivot = big.groupBy("h").agg(*[F.min_by(F.struct(*OWN, "c"), F.struct(F.xxhash64(F.lit(seed), "s"), F.col("s"))).alias(f"p{seed}_") for seed in range(PIVOTS)])
     pivot = pivot.select("h", F.explode(F.array_distinct(F.array(*[f"p{seed}_" for seed in range(PIVOTS)]))).alias("p"))
-    star = big.join(pivot, "h").filter((F.col("s") != F.col("p.s")) & _may_match(F.col, lambda k: F.col(f"p.{k}")))
+    star = big.join(pivot, "h").filter((F.col("c") != F.col("p.c")) & _may_match(F.col, lambda k: F.col(f"p.{k}")))
     return verified(docs, prints, star.select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")).distinct())
 
 
 def links(docs: DataFrame, prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of distinct sets whose components are those of all pairs that are similar enough."""
-    sets = prints.groupBy("s").agg(*[F.first(p).alias(p) for p in PARITY])
+    parity = prints.groupBy("s").agg(*[F.first(p).alias(p) for p in PARITY])
+
+    def sets(found: DataFrame) -> DataFrame:
+        """Each set with its parities and its component c by the pairs found so far."""
+        of = representatives(found, found.count()).withColumnRenamed("node", "s")
+        return cut(parity.join(of, "s", "left").select("s", *PARITY, F.coalesce("rep", "s").alias("c")))
+
+    found = fingerprint_links(docs, prints)
+    known = sets(found)
     members = shared_hashes(prints)
     crowded = members.filter(F.col("k") > crowd)
-    big = cut(crowded.join(sets, "s")) if not crowded.isEmpty() else crowded
-    found = None if big.isEmpty() else pivot_links(docs, prints, big)
-    if found is not None and not found.isEmpty():
-        of = representatives(found, found.count()).withColumnRenamed("node", "s")
-        c = cut(members.join(sets.join(of, "s", "left"), "s").select("h", *OWN, F.coalesce("rep", "s").alias("c")))
-        sizes = c.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
-        tops = sizes.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-        apart = cut(c.join(tops, "h"))
-    else:
-        apart = cut(members.join(sets, "s").select("h", *OWN, F.col("s").alias("c"), F.lit(None).cast("long").alias("top")))
+    if not crowded.isEmpty():
+        more = pivot_links(docs, prints, cut(crowded.join(known, "s")))
+        if not more.isEmpty():
+            found = found.union(more)
+            known = sets(found)
+    c = cut(members.join(known, "s").select("h", *OWN, "c"))
+    sizes = c.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
+    tops = sizes.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    apart = cut(c.join(tops, "h"))
     x, y = (apart.select(*[F.col(k).alias(f"{side}_{k}") for k in ("h", "c", "top", *OWN)]) for side in "xy")
-    x = x.filter(~F.col("x_c").eqNullSafe(F.col("x_top")))
-    once = F.col("y_c").eqNullSafe(F.col("y_top")) | (F.col("x_s") < F.col("y_s"))
+    x = x.filter(F.col("x_c") != F.col("x_top"))
+    once = (F.col("y_c") == F.col("y_top")) | (F.col("x_s") < F.col("y_s"))
     meet = (F.col("x_h") == F.col("y_h")) & (F.col("x_c") != F.col("y_c")) & once
     both = x.join(y, meet & _may_match(lambda k: F.col(f"x_{k}"), lambda k: F.col(f"y_{k}")))
     new = verified(docs, prints, both.select(F.least("x_s", "y_s").alias("a"), F.greatest("x_s", "y_s").alias("b")).distinct())
-    return new if found is None else found.union(new)
+    return found.union(new)
 
 
 def groups_of(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -4,6 +4,8 @@ import corpus_pipeline
 import fixtures as X
 import numpy as np
 import pytest
+import test_simhash as TS
+import xxhash
 from test_simhash import near_copies
 
 from corrweave.llm import near_copies as N
@@ -85,3 +87,40 @@ def test_shingles_and_prefixes():
     assert N.shingles("A b\tc").tolist() == N.shingles("a B c").tolist()
     for n in range(1, 200):  # overlap ceil(0.8 n) can't avoid the prefix
         assert n - N.prefix_length(n) < -(-4 * n // 5)
+
+
+def set_hash(text):
+    return TS.signed(xxhash.xxh64_intdigest(N.shingles(text)))
+
+
+def test_fingerprints_link_first(spark):
+    """The grid's links, verified: pairs that aren't similar stay apart, and all groups of near copies within two bits are found."""
+    far = [(1, "a a a", "en", "a"), (2, "a " * 10, "en", "a"), (3, "", "en", "a")]  # 1 and 2 have one fingerprint
+    assert TS.plain_print(far[0][1]) == TS.plain_print(far[1][1])
+    rows = [*far, *near_copies(40)]
+    docs = X.documents(spark, rows)
+    prints = N.cut(N.prefixes(docs, N.slot_counts(docs)))
+    found = {(r["a"], r["b"]) for r in N.fingerprint_links(docs, prints).collect()}
+    texts = {set_hash(r[1]): r[1] for r in rows}
+    assert found and all(alike(grams(texts[a]), grams(texts[b])) for a, b in found)
+    root = TS.groups({TS.plain_print(r[1]) for r in rows[3:]})
+    groups = {}
+    for r in rows[3:]:
+        groups.setdefault(root[TS.plain_print(r[1])], set()).add(set_hash(r[1]))
+    assert len(found) >= sum(len(g) - 1 for g in groups.values()) > 10
+    assert all(any(a in g and b in g for g in groups.values()) for a, b in found)
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Without the exact search, what is left are the groups of the fingerprints; with it, those of all pairs."""
+    rows = near_copies(40)
+    docs = X.documents(spark, rows)
+    nothing = spark.createDataFrame([], "h long, s long, n long, i long, k long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1000}
+    monkeypatch.setattr(N, "shared_hashes", lambda prints: nothing)
+    root = TS.groups({TS.plain_print(r[1]) for r in rows})
+    least = {}
+    for r in sorted(rows, reverse=True):
+        least[root[TS.plain_print(r[1])]] = r[0]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == set(least.values()) and 1 < len(got) < 30
