@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,25 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+_kept: dict[str, Any] = {}
+
+
+def drop_kept() -> None:
+    """What other operators keep in this Python worker goes."""
+    _kept.clear()
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker across its tasks; another operator's goes first.
+
+    Workers are reused, so the stores of all stages of a pipeline would add up.
+    """
+    if key not in _kept:
+        drop_kept()
+        _kept[key] = make()
+    return _kept[key]
+
+
 #: Rows up to which a slim table (two numbers a row) is broadcast once it has been counted; beyond it a join shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from corrweave.operators.components import representatives
 
-from .common import cut, small
+from .common import cut, kept, small
 from .simhash import fingerprint, keep_one, text_hash
 from .simhash import links as grid_links
 
@@ -83,13 +83,10 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingles(text: str) -> np.ndarray:
     """The distinct shingles' hashes (int64), sorted."""
     words = text.encode(errors="replace").lower().split()  # of bytes: ASCII letters and ASCII white space
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map(kept("words", _Words).__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(SHINGLE, len(w))
     if not k:
         return np.empty(0, dtype=np.int64)

@@ -45,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, kept, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -201,14 +201,9 @@ class WordEncoder:
         return self.ids[gather]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker, kept across its tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """One encoder for each Python worker, kept across its tasks until those of another operator come."""
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

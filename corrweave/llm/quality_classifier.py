@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held_out_remainder, table
+from .common import drop_kept, fresh, held_out_remainder, table
 
 LABELLED_ROWS = 4096
 DIMENSIONS = 2048
@@ -146,6 +146,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS)
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         model = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, BLOCK_ROWS):

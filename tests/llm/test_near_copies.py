@@ -8,6 +8,7 @@ import test_simhash as TS
 import xxhash
 from test_simhash import near_copies
 
+from corrweave.llm import common, packing
 from corrweave.llm import near_copies as N
 
 
@@ -124,3 +125,23 @@ def test_stage_goes_through_simhash(spark, monkeypatch):
         least[root[TS.plain_print(r[1])]] = r[0]
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert got == set(least.values()) and 1 < len(got) < 30
+
+
+def test_a_worker_keeps_the_store_of_one_operator(spark):
+    """Stages share Python workers: the words and ids of packing don't stay beside the words of shingles or the classifier."""
+
+    def classes(rows):
+        return [type(v).__name__ for v in common._kept.values()]
+
+    def run(batches):
+        path = packing.public_tokenizers.path(packing.TOKENIZER)
+        enc = packing.encoder(path)
+        assert packing.encoder(path) is enc and classes(0) == ["WordEncoder"]
+        N.shingles("a b c d e f")
+        assert classes(0) == ["_Words"] and len(next(iter(common._kept.values()))) == 6
+        assert packing.encoder(path) is not enc and classes(0) == ["WordEncoder"]
+        common.drop_kept()
+        assert classes(0) == []
+        yield from batches
+
+    assert spark.range(1, numPartitions=1).mapInArrow(run, "id long").count() == 1
